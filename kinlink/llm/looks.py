@@ -20,7 +20,6 @@ ARMENIAN.pop("Հ"), ARMENIAN.pop("Ց")
 TO_LATIN = CYRILLIC | GREEK | ARMENIAN
 FROM_LATIN = {"cyrillic": {v: k for k, v in reversed(CYRILLIC.items())}, "greek": {v: k for k, v in reversed(GREEK.items())}, "armenian": {v: k for k, v in reversed(ARMENIAN.items())}}
 _TO_LATIN = str.maketrans(TO_LATIN)
-_DRAWN_ALIKE = frozenset(TO_LATIN.values())
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
 _BLANK = re.compile(r"[\s   -     　]+")
@@ -60,16 +59,21 @@ def script(ch: str) -> str:
 
 
 def dominant(text: str) -> str:
-    """The script of most letters, going by those that no other script has a look-alike of; ties go to Latin."""
-    own: dict[str, int] = {}
+    """The script that most of the text can be spelled in: the fewest letters are left that have no look-alike there; then
+    the script of most letters, then Latin."""
     n: dict[str, int] = {}
-    for ch in text:
-        if s := script(ch):
-            n[s] = n.get(s, 0) + 1
-            if ch not in TO_LATIN and ch not in _DRAWN_ALIKE:
-                own[s] = own.get(s, 0) + 1
-    n = own or n
-    return max(n, key=lambda s: (n[s], s == "latin"), default="")
+    letters = [(ch, s) for ch in text if (s := script(ch))]
+    for _, s in letters:
+        n[s] = n.get(s, 0) + 1
+    if len(n) < 2:
+        return next(iter(n), "")
+    return min(n, key=lambda t: (sum(s != t and not _twin(ch, s, t) for ch, s in letters), -n[t], t != "latin"))
+
+
+def _twin(ch: str, own: str, target: str) -> str | None:
+    """The letter of the target script that looks like a letter of its own script."""
+    plain = TO_LATIN.get(ch) or (ch if own == "latin" else None)
+    return plain if target == "latin" else FROM_LATIN.get(target, {}).get(plain or "")
 
 
 def _into(token: str, target: str) -> str | None:
@@ -77,8 +81,7 @@ def _into(token: str, target: str) -> str | None:
     for ch in token:
         s = script(ch)
         if s and s != target:
-            plain = TO_LATIN.get(ch) or (ch if s == "latin" else None)
-            ch = plain if target == "latin" else FROM_LATIN.get(target, {}).get(plain or "")
+            ch = _twin(ch, s, target)
             if not ch:
                 return None
         out.append(ch)

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.groups import connected_groups, linked_ids
 from kinlink.llm.lookalike import consistent_forms, same_looking
+from kinlink.llm.variants import name_variants, nearest
+from kinlink.ship import ship
 
 TABLES = {1: "train_source1", 2: "train_source2", 3: "train_source3"}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,14 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.union(_read(spark, sf_dir, "train_source2").select(F.lit("address"), "entity_id", "business_address"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, three = (_read(spark, sf_dir, TABLES[i]).select("entity_id", F.col("business_name").alias("name")).where("entity_id is not null").distinct() for i in (1, 3))
+    pairs = nearest(name_variants(one.select("name"), three.select("name"))).where("name_a <> name_b")
+    left = one.select(F.col("entity_id").alias("source1_entity_id"), F.col("name").alias("name_a"))
+    right = three.select(F.col("entity_id").alias("source3_entity_id"), F.col("name").alias("name_b"))
+    return pairs.join(left, "name_a").join(right, "name_b").select("source1_entity_id", "source3_entity_id").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking(_texts(spark, sf_dir), ["field"]).select("entity_id_a", "entity_id_b").distinct()
 
@@ -35,7 +45,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(linked_ids(_read(spark, sf_dir, "matching_results"), "source1_entity_id", "matched_entity_ids")).select("group_id", "entity_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_forms, p5_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_forms, p5_found)}
 
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """
