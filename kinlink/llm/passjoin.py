@@ -67,12 +67,13 @@ def _keys(make: Callable[[str], list[str]], text: str) -> Column:
     return F.explode(F.pandas_udf(run, T.ArrayType(T.StringType()))(text))
 
 
-def similar(indexed: DataFrame, probes: DataFrame, text: str = "s") -> DataFrame:
+def similar(indexed: DataFrame, probes: DataFrame, text: str = "s", by: tuple[str, ...] = ()) -> DataFrame:
     """Rows of indexed and probes (columns other than ``text`` must not clash) whose texts are within the edits allowed
-    for the indexed one, with ``edits``. Null and empty texts match nothing. Pairs may repeat if their rows do."""
-    i = indexed.withColumn("_k", _keys(index_keys, text)).withColumnRenamed(text, "_a").withColumn("_k", F.xxhash64("_k"))
-    p = probes.withColumn("_k", _keys(probe_keys, text)).withColumnRenamed(text, "_b").withColumn("_k", F.xxhash64("_k"))
+    for the indexed one, with ``edits``, equal in the columns ``by``. Null and empty texts match nothing. Pairs may repeat
+    if their rows do."""
+    i = indexed.withColumn("_k", _keys(index_keys, text)).withColumnRenamed(text, "_a").withColumn("_k", F.xxhash64("_k", *by))
+    p = probes.withColumn("_k", _keys(probe_keys, text)).withColumnRenamed(text, "_b").withColumn("_k", F.xxhash64("_k", *by))
     limit = _allowed(F.length("_a"))
     # the threshold of levenshtein() is a constant: the widest band, then the one of this length
-    near = i.join(p, "_k").withColumn("edits", F.levenshtein("_a", "_b", 3)).where((F.col("edits") >= 0) & (F.col("edits") <= limit))
+    near = i.join(p, ["_k", *by]).withColumn("edits", F.levenshtein("_a", "_b", 3)).where((F.col("edits") >= 0) & (F.col("edits") <= limit))
     return near.drop("_k", "_a", "_b")
