@@ -30,7 +30,7 @@ _PREFIX = re.compile(r"\b(?:plot|door|shop|house|flat|site|gala|survey|sy|h|d)\W
 _NUMBER = re.compile(r"(?<![\w/-])#?\s?(\d{1,5})\s*(?:/\s*\d+\s*)?(bis|ter|quater)?(?:\s*-?\s*([a-d]))?(?![\w])")
 _HASH = re.compile(r"#\s?\d+[a-z]?\b")
 _AREA = re.compile(r"\b(?:industrial|indl|ind)\s*\.?\s*area\b|\bi\s*\.?\s*a\b\.?")
-_WORD = re.compile(r"[^\W_]+")
+_PIECE = re.compile(r"[^\W_]+|@")
 _HINT_LANDMARK = re.compile(r"\b(?:n(?:ea)?r|opp|opposite|behind|beside|next|adj|adjacent|facing|in front)\b")
 _HINT_IA = re.compile(r"\bi\s*\.?\s*a\b")
 _HINT_UNIT = re.compile(r"\b(?:s(?:ui)?te|unit|ap|flat|r(?:oo)?m|b(?:ui)?ld|bat|esc|f(?:oo)?l|block|blk|tower)")
@@ -82,10 +82,15 @@ def read_address(raw: str | None) -> Address | None:
         t = t[: m.start()] + " @ " + t[m.end() :]
     parts: list[list[str]] = []
     for seg in _CUT.split(t):
-        here = "@" in seg
-        words = _WORD.findall(seg.replace("'", " "))
-        if words or here:
-            parts.append([*(["@"] if here else []), *words])
+        words = _PIECE.findall(seg.replace("'", " "))
+        if "@" in words:
+            j = words.index("@")
+            if j and any(w in STREETS for w in words[j + 1 :]):  # an area, then number and street, without a comma
+                parts.append(words[:j])
+                words = words[j:]
+            words = ["@", *(w for w in words if w != "@")]
+        if words:
+            parts.append(words)
     at = next((i for i, p in enumerate(parts) if any(w in STREETS for w in p[1:] or p) and ("@" in p or len(p) > 1)), None)
     marked = next((i for i, p in enumerate(parts) if "@" in p), None)
     if marked is not None:

@@ -32,6 +32,8 @@ BEAM = 3
 ZONES = 2
 #: a spelling is taken for another if that one is so many times as frequent
 RATIO = 2
+#: edits for each letter that streets at one number of one postcode may differ by
+LIKENESS = 0.3
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +61,8 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cluster(counted: DataFrame, text: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., text, canon): each spelling with the frequent spelling it is near to, itself if there is none."""
+    """(by..., text, canon): each spelling with the frequent spelling it is near to, itself if there is none. n is how
+    frequent a spelling is in the corpus."""
     index = counted.where("n > 1").select(*by, F.col(text).alias("s"), F.col(text).alias("a"), F.col("n").alias("n_a"))
     probes = counted.select(*by, F.col(text).alias("s"), F.col(text).alias("b"), F.col("n").alias("n_b"))
     near = similar(index, probes, by=by).where(f"a <> b and n_a >= {RATIO} * n_b").select(*by, "a", "b", "n_a", "edits").distinct()
@@ -75,7 +78,7 @@ def resolve(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     rows = parsed.where("number <> '' and street <> ''").select("address", "number", "postcode", "compass", F.regexp_replace("street", r" \?$", "").alias("street"), F.col("street").endswith(" ?").alias("bare"), "areas")
     zone = F.substring("postcode", 1, 3)
     named = rows.select("postcode", F.explode(F.array_distinct("areas")).alias("area"))
-    stats = named.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(F.col("postcode") <> "", zone)).alias("zones"))
+    stats = named.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(F.col("postcode") != "", zone)).alias("zones"))
     areas = scratch.cut(_cluster(stats.where("length(area) > 3"), "area").join(stats.select("area", "zones"), "area").where(f"zones <= {ZONES}").select("area", "canon"))
     coded = named.where("postcode <> ''").join(areas, "area").groupBy("postcode", "canon").agg(F.count(F.lit(1)).alias("n"))
     place_of = scratch.cut(coded.groupBy("postcode").agg(F.min(F.struct((-F.col("n")).alias("m"), "canon")).alias("x")).select("postcode", F.col("x.canon").alias("place")))
@@ -94,15 +97,21 @@ def resolve(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     beam = scratch.cut(rows.join(by_code.unionByName(guesses.select("address", "place", "score")), "address", "left"))
 
     known = beam.where("place is not null")
-    entries = known.where("not bare and score >= 2").groupBy("place", "street").agg(F.count(F.lit(1)).alias("n"))
-    seen = known.groupBy("place", "street").agg(F.sum(F.when(~F.col("bare"), 1).otherwise(0)).alias("n"))
-    canon = scratch.cut(_cluster(seen.join(entries.select("place", "street", F.lit(1).alias("e")), ["place", "street"], "left").select("place", "street", "n"), "street", ("place",)))
+    # how often a street is spelled so anywhere tells spellings from slips even where a locality has it just twice
+    anywhere = rows.groupBy("street").agg(F.sum(F.when(~F.col("bare"), 1).otherwise(0)).alias("n"))
+    canon = scratch.cut(_cluster(known.select("place", "street").distinct().join(anywhere, "street"), "street", ("place",)))
     heads = canon.where("street = canon and n > 0").select("place", F.regexp_replace("canon", r" [^ ]+$", "").alias("head"), F.col("canon").alias("full"), F.col("n").alias("n_full"))
     heads = heads.groupBy("place", "head").agg(F.count(F.lit(1)).alias("k"), F.first("full").alias("full")).where("k = 1").select("place", F.col("head").alias("street"), "full")
     streets = canon.join(heads, ["place", "street"], "left")
     found = known.join(streets, ["place", "street"]).select("address", "place", F.when(F.col("bare") & (F.col("canon") == F.col("street")), F.coalesce("full", "canon")).otherwise(F.col("canon")).alias("street"), "number", "postcode", "compass", (F.col("score") + F.when(F.col("n") > 1, 1).otherwise(0)).alias("score"))
     top = found.groupBy("address").agg(F.max("score").alias("top"))
     found = scratch.cut(found.join(top, "address").where("score = top").drop("top", "score"))
+    # what is left of slips: streets somewhat alike at one number of one postcode are one entry, under its commonest spelling
+    at = found.where("postcode <> ''").select("postcode", "number", "street").distinct().join(anywhere, "street")
+    one, other = at.withColumnRenamed("street", "b").withColumnRenamed("n", "m"), at.withColumnRenamed("street", "a")
+    alike = one.join(other, ["postcode", "number"]).where("a <> b and (n > m or n = m and a < b)").withColumn("d", F.levenshtein("a", "b"))
+    alike = alike.where(F.col("d") <= F.lit(LIKENESS) * F.least(F.length("a"), F.length("b"))).groupBy("postcode", "number", "b").agg(F.max(F.struct("n", (-F.col("d")).alias("e"), "a")).alias("x"))
+    found = found.join(alike.select("postcode", "number", F.col("b").alias("street"), F.col("x.a").alias("_to")), ["postcode", "number", "street"], "left").withColumn("street", F.coalesce("_to", "street"))
     # no locality at all: street and number that occur in one place only
     lost = beam.where("place is null").select("address", "street", "number", "postcode", "compass")
     spots = found.groupBy("street", "number").agg(F.countDistinct("place").alias("k"), F.first("place").alias("place")).where("k = 1").select("street", "number", "place")

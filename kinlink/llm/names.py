@@ -119,7 +119,8 @@ class Vocabulary:
         common = [w for k, w in got if k == "common"]
         given = [w for k, w in got if k == "given"]
         initials = [w for k, w in got if k == "initial"]
-        return {"rare": rare, "common": common, "given": given, "initials": initials}
+        raw = [t for t, (k, _) in zip(tokens, got, strict=True) if k == "rare"]
+        return {"rare": rare, "common": common, "given": given, "initials": initials, "raw": raw}
 
 
 def _within(short: str, long: str) -> bool:

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinlink.llm.gazetteer import same_location
 from kinlink.llm.groups import connected_groups, linked_ids
+from kinlink.llm.language import LanguageModel, language_segments, mislabelled, model_of
+from kinlink.llm.leaks import leaked_items
 from kinlink.llm.lookalike import consistent_forms, same_looking
 from kinlink.llm.variants import name_variants, nearest
 from kinlink.ship import ship
@@ -24,6 +27,14 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.union(_read(spark, sf_dir, "train_source2").select(F.lit("address"), "entity_id", "business_address"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = (_read(spark, sf_dir, TABLES[i]).select("entity_id", F.col("business_address").alias("address")).where("entity_id is not null").distinct() for i in (1, 2))
+    pairs = same_location(one.select("address"), two.select("address")).where("address_a <> address_b")
+    left = one.select(F.col("entity_id").alias("source1_entity_id"), F.col("address").alias("address_a"))
+    right = two.select(F.col("entity_id").alias("source2_entity_id"), F.col("address").alias("address_b"))
+    return pairs.join(left, "address_a").join(right, "address_b").select("source1_entity_id", "source2_entity_id").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, three = (_read(spark, sf_dir, TABLES[i]).select("entity_id", F.col("business_name").alias("name")).where("entity_id is not null").distinct() for i in (1, 3))
     pairs = nearest(name_variants(one.select("name"), three.select("name"))).where("name_a <> name_b")
@@ -41,11 +52,28 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_forms(_texts(spark, sf_dir), ["field"])
 
 
+def _model(spark: SparkSession, sf_dir: str) -> LanguageModel:
+    return model_of(_read(spark, sf_dir, "lang_samples"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items")).distinct()
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mislabelled(_read(spark, sf_dir, "documents"), _model(spark, sf_dir))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of one language of every document, with its confidence."""
+    return language_segments(_read(spark, sf_dir, "documents"), _model(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(linked_ids(_read(spark, sf_dir, "matching_results"), "source1_entity_id", "matched_entity_ids")).select("group_id", "entity_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_forms, p5_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_forms, p5_found, p7_found, p8_found, p8_segments)}
 
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """

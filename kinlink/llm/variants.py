@@ -86,7 +86,7 @@ def strings(tokens: list[str], together: bool, r: dict) -> list[tuple[str, str]]
     bones = "".join(sorted(map(skeleton, rare)))
     if len(bones) >= 3:
         out.append(("b", bones))
-        if any(len(t) >= 3 and not set(t) & set("aeiou") for t in tokens):
+        if any(len(t) >= 3 and not set(t) & set("aeiou") for t in r["raw"]):
             out.append(("q", bones))
     return out
 
@@ -252,7 +252,7 @@ def name_variants(left: DataFrame, right: DataFrame, scratch: Scratch | None = N
     as_one = keyed.where("use = 't'").select("side", "name").distinct()
     whole = lambda x: keyed.where("use = 'p'").join(as_one, ["side", "name"]).where(F.col("side") == x).select(F.col("name").alias(f"name_{x}"), "s")
     found = found.union(similar(index("a", "f"), whole("b")).select("name_a", "name_b")).union(similar(index("b", "f"), whole("a")).select("name_a", "name_b"))
-    return found.distinct().mapInPandas(_verify(words), "name_a string, name_b string, cost double")
+    return scratch.cut(found.distinct().mapInPandas(_verify(words), "name_a string, name_b string, cost double"))
 
 
 def nearest(pairs: DataFrame, slack: float = 0.0) -> DataFrame:
