@@ -141,3 +141,18 @@ def _street(words: list[str]) -> str:
     kind = STREETS.get(words[-1]) if len(words) > 1 else None
     name = [sound(w) for w in (words[:-1] if kind else words)]
     return " ".join([*name, kind or "?"])
+
+
+def unit_of(raw: str | None) -> str:
+    """Figures of a suite, flat or number sign that isn't the house number; empty if there are none."""
+    if not raw or not ("#" in raw or _HINT_UNIT.search(raw.lower())):
+        return ""
+    t = ascii_lower(latin_reading(visual_fold(raw)))
+    found = [re.sub(r"\D", "", x) for x in _UNIT.findall(t) + _HASH.findall(t)]
+    number = read_number(t)
+    return next((x for x in found if x and x != number), "")
+
+
+def read_number(t: str) -> str:
+    m = _NUMBER.search(_HASH.sub(" ", _UNIT.sub(" ", _FLOOR.sub(" ", t))))
+    return m[1] if m else ""

@@ -25,7 +25,7 @@ from kinlink.llm.passjoin import similar
 from kinlink.llm.variants import _osa
 from kinlink.scratch import Scratch
 
-READ = "number string, postcode string, compass string, street string, areas array<string>"
+PARTS = "number string, postcode string, compass string, street string, kind string, bare boolean, areas array<string>"
 #: localities kept for an address
 BEAM = 3
 #: postcodes of a locality begin with at most so many different first three digits
@@ -38,13 +38,20 @@ LIKENESS = 0.3
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(a, *r) for a in b["address"] if (r := read_address(a))]
-        yield pd.DataFrame(rows, columns=["address", "number", "postcode", "compass", "street", "areas"])
+        rows = []
+        for side, id_, raw in zip(b["side"], b["id"], b["address"], strict=True):
+            if r := read_address(raw):
+                head, _, kind = r.street.rpartition(" ")
+                rows.append((side, id_, raw, r.number, r.postcode, r.compass, head or kind, "" if kind == "?" or not head else kind, kind == "?", r.areas))
+        yield pd.DataFrame(rows, columns=["side", "id", "address", *(x.split()[0] for x in PARTS.split(", "))])
 
 
-def read_addresses(addresses: DataFrame) -> DataFrame:
-    """addresses(address) distinct, with their parts; those that denote nothing are left out."""
-    return addresses.where("trim(address) <> ''").select("address").distinct().mapInPandas(_read, f"address string, {READ}")
+def read_addresses(records: DataFrame) -> DataFrame:
+    """records(side, id, address) with the parts of the address and a number of its own; those that denote nothing are left
+    out. street is the name, kind what kind of street it is, bare says that none was given."""
+    kinds = dict(records.dtypes)
+    read = records.select("side", "id", "address").mapInPandas(_read, f"side string, id {kinds['id']}, address string, {PARTS}")
+    return read.select(F.monotonically_increasing_id().alias("n"), "side", "id", F.xxhash64("address").alias("raw"), *(x.split()[0] for x in PARTS.split(", ")))
 
 
 def _same_words(a: str, b: str) -> bool:
@@ -61,7 +68,7 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cluster(counted: DataFrame, text: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., text, canon): each spelling with the frequent spelling it is near to, itself if there is none. n is how
+    """(by..., text, canon, n): each spelling with the frequent spelling it is near to, itself if there is none. n is how
     frequent a spelling is in the corpus."""
     index = counted.where("n > 1").select(*by, F.col(text).alias("s"), F.col(text).alias("a"), F.col("n").alias("n_a"))
     probes = counted.select(*by, F.col(text).alias("s"), F.col(text).alias("b"), F.col("n").alias("n_b"))
@@ -72,61 +79,69 @@ def _cluster(counted: DataFrame, text: str, by: tuple[str, ...] = ()) -> DataFra
     return counted.join(best, [*by, text], "left").select(*by, text, F.coalesce("canon", text).alias("canon"), "n")
 
 
-def resolve(parsed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(address, place, street, number, postcode, compass): every parsed address with the gazetteer entry (place, street)
-    it is resolved to. An address may keep several equally good entries; one that fits none is its own place."""
-    rows = parsed.where("number <> '' and street <> ''").select("address", "number", "postcode", "compass", F.regexp_replace("street", r" \?$", "").alias("street"), F.col("street").endswith(" ?").alias("bare"), "areas")
-    zone = F.substring("postcode", 1, 3)
-    named = rows.select("postcode", F.explode(F.array_distinct("areas")).alias("area"))
-    stats = named.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(F.col("postcode") != "", zone)).alias("zones"))
-    areas = scratch.cut(_cluster(stats.where("length(area) > 3"), "area").join(stats.select("area", "zones"), "area").where(f"zones <= {ZONES}").select("area", "canon"))
-    coded = named.where("postcode <> ''").join(areas, "area").groupBy("postcode", "canon").agg(F.count(F.lit(1)).alias("n"))
+def resolve(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(n, place, street, kind, number, postcode, compass) of read addresses: the gazetteer entry (place, street, kind) that
+    each is resolved to. An address may keep several equally good entries; one that fits none is left out. Only what a
+    step needs of an address is moved: its number n and the parts compared there."""
+    rows = rows.where("number <> '' and street <> ''")
+    # areas by postcode, counted once; everything about areas and postcodes is made of these counts
+    named = scratch.cut(rows.select("postcode", F.explode(F.array_distinct("areas")).alias("area")).where("length(area) > 3").groupBy("postcode", "area").agg(F.count(F.lit(1)).alias("n")))
+    zone = F.when(F.col("postcode") != "", F.substring("postcode", 1, 3))
+    stats = named.groupBy("area").agg(F.sum("n").alias("n"), F.countDistinct(zone).alias("zones")).where(f"zones <= {ZONES}")
+    areas = scratch.cut(_cluster(stats.select("area", "n"), "area").select("area", "canon"))
+    coded = named.where("postcode <> ''").join(areas, "area").groupBy("postcode", "canon").agg(F.sum("n").alias("n"))
     place_of = scratch.cut(coded.groupBy("postcode").agg(F.min(F.struct((-F.col("n")).alias("m"), "canon")).alias("x")).select("postcode", F.col("x.canon").alias("place")))
-    places = place_of.select("place").distinct()
 
-    # locality hypotheses: 3 by postcode, 2 by a whole part, 1 by the beginning or end of a part
-    by_code = rows.where("postcode <> ''").join(place_of, "postcode", "left").select("address", F.coalesce("place", "postcode").alias("place"), F.lit(3.0).alias("score"))
-    open_rows = rows.where("postcode = ''").select("address", F.explode("areas").alias("area"))
-    whole = open_rows.join(areas, "area").select("address", F.col("canon").alias("place"), F.lit(2.0).alias("score"))
-    words = F.split("area", " ")
+    kept = ("n", "number", "postcode", "compass", "street", "kind", "bare")
+    # by postcode: one hypothesis
+    sure = rows.where("postcode <> ''").select(*kept).join(place_of, "postcode", "left").withColumn("place", F.coalesce("place", "postcode"))
+    # else localities named by a whole part (2) or by its beginning or end (1); the best few are kept
+    rest = rows.where("postcode = ''")
+    parts = rest.select("n", F.explode("areas").alias("area"))
+    whole = parts.select("n", "area", F.lit(2.0).alias("score"))
     windows = F.expr("flatten(transform(sequence(1, size(w) - 1), i -> array(array_join(slice(w, 1, i), ' '), array_join(slice(w, -i, i), ' '))))")
-    partly = open_rows.withColumn("w", words).where("size(w) > 1").select("address", F.explode(windows).alias("area")).join(areas, "area")
-    partly = partly.select("address", F.col("canon").alias("place"), (F.lit(1.0) + F.length("area") / 100).alias("score"))
-    guesses = whole.union(partly).join(places, "place", "left_semi").groupBy("address", "place").agg(F.max("score").alias("score"))
-    guesses = guesses.withColumn("r", F.row_number().over(W.partitionBy("address").orderBy(F.desc("score"), "place"))).where(f"r <= {BEAM}").drop("r")
-    beam = scratch.cut(rows.join(by_code.unionByName(guesses.select("address", "place", "score")), "address", "left"))
+    partly = parts.withColumn("w", F.split("area", " ")).where("size(w) > 1").select("n", F.explode(windows).alias("area")).withColumn("score", F.lit(1.0) + F.length("area") / 100)
+    guesses = whole.union(partly).join(areas, "area").select("n", F.col("canon").alias("place"), "score").join(place_of.select("place").distinct(), "place", "left_semi")
+    guesses = guesses.groupBy("n", "place").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(W.partitionBy("n").orderBy(F.desc("score"), "place"))).where(f"r <= {BEAM}").drop("r")
+    beam = scratch.cut(rest.select(*kept).join(guesses, "n", "left"))
+    known = scratch.cut(sure.select(*kept, "place", F.lit(3.0).alias("score")).union(beam.where("place is not null").select(*kept, "place", "score")))
 
-    known = beam.where("place is not null")
     # how often a street is spelled so anywhere tells spellings from slips even where a locality has it just twice
-    anywhere = rows.groupBy("street").agg(F.sum(F.when(~F.col("bare"), 1).otherwise(0)).alias("n"))
-    canon = scratch.cut(_cluster(known.select("place", "street").distinct().join(anywhere, "street"), "street", ("place",)))
-    heads = canon.where("street = canon and n > 0").select("place", F.regexp_replace("canon", r" [^ ]+$", "").alias("head"), F.col("canon").alias("full"), F.col("n").alias("n_full"))
-    heads = heads.groupBy("place", "head").agg(F.count(F.lit(1)).alias("k"), F.first("full").alias("full")).where("k = 1").select("place", F.col("head").alias("street"), "full")
-    streets = canon.join(heads, ["place", "street"], "left")
-    found = known.join(streets, ["place", "street"]).select("address", "place", F.when(F.col("bare") & (F.col("canon") == F.col("street")), F.coalesce("full", "canon")).otherwise(F.col("canon")).alias("street"), "number", "postcode", "compass", (F.col("score") + F.when(F.col("n") > 1, 1).otherwise(0)).alias("score"))
-    top = found.groupBy("address").agg(F.max("score").alias("top"))
-    found = scratch.cut(found.join(top, "address").where("score = top").drop("top", "score"))
+    streets = known.groupBy("place", "kind", "street").agg(F.sum(F.when(F.col("bare"), 0).otherwise(1)).alias("k"))
+    anywhere = streets.groupBy("street", "kind").agg(F.sum("k").alias("n"))
+    canon = scratch.cut(_cluster(streets.drop("k").join(anywhere, ["street", "kind"]), "street", ("place", "kind")))
+    # a street without its kind is that of its name, if the locality has but one of that name
+    only = canon.where("street = canon and kind <> ''").groupBy("place", "street").agg(F.count(F.lit(1)).alias("m"), F.first("kind").alias("full")).where("m = 1").drop("m")
+    lookup = canon.where("kind <> ''").select("place", "kind", "street", "canon", F.col("kind").alias("full"), "n").union(canon.where("kind = ''").join(only, ["place", "street"], "left").select("place", "kind", "street", F.col("street").alias("canon"), F.coalesce("full", F.lit("")), "n"))
+    found = known.join(lookup.withColumnRenamed("n", "_n"), ["place", "kind", "street"]).select("n", "place", F.col("canon").alias("street"), F.col("full").alias("kind"), "number", "postcode", "compass", (F.col("score") + F.when(F.col("_n") > 1, 1).otherwise(0)).alias("score"))
+    guessed = found.where("postcode = ''")
+    top = guessed.groupBy("n").agg(F.max("score").alias("top"))
+    found = scratch.cut(found.where("postcode <> ''").drop("score").union(guessed.join(top, "n").where("score = top").drop("top", "score")))
     # what is left of slips: streets somewhat alike at one number of one postcode are one entry, under its commonest spelling
-    at = found.where("postcode <> ''").select("postcode", "number", "street").distinct().join(anywhere, "street")
-    one, other = at.withColumnRenamed("street", "b").withColumnRenamed("n", "m"), at.withColumnRenamed("street", "a")
-    alike = one.join(other, ["postcode", "number"]).where("a <> b and (n > m or n = m and a < b)").withColumn("d", F.levenshtein("a", "b"))
-    alike = alike.where(F.col("d") <= F.lit(LIKENESS) * F.least(F.length("a"), F.length("b"))).groupBy("postcode", "number", "b").agg(F.max(F.struct("n", (-F.col("d")).alias("e"), "a")).alias("x"))
-    found = found.join(alike.select("postcode", "number", F.col("b").alias("street"), F.col("x.a").alias("_to")), ["postcode", "number", "street"], "left").withColumn("street", F.coalesce("_to", "street"))
+    doubt = found.where("postcode <> ''").groupBy("postcode", "number").agg(F.min(F.struct("street", "kind")).alias("a"), F.max(F.struct("street", "kind")).alias("b")).where("a <> b").select("postcode", "number")
+    at = found.join(doubt, ["postcode", "number"], "left_semi").select("postcode", "number", "street", "kind").distinct().join(anywhere, ["street", "kind"], "left").fillna(0, ["n"])
+    renamed = lambda x: at.select("postcode", "number", F.concat_ws(" ", "street", "kind").alias(x), F.col("street").alias(f"s{x}"), F.col("kind").alias(f"k{x}"), F.col("n").alias(f"n{x}"))
+    alike = renamed("b").join(renamed("a"), ["postcode", "number"]).where("a <> b and (na > nb or na = nb and a < b)").withColumn("d", F.levenshtein("a", "b"))
+    alike = alike.where((F.col("d") <= F.lit(LIKENESS) * F.least(F.length("a"), F.length("b"))) | (F.col("sa") == F.col("sb")) & ((F.col("ka") == "") | (F.col("kb") == "")))
+    alike = alike.groupBy("postcode", "number", "sb", "kb").agg(F.max(F.struct("na", (-F.col("d")).alias("e"), "sa", "ka")).alias("x")).select("postcode", "number", F.col("sb").alias("street"), F.col("kb").alias("kind"), F.col("x.sa").alias("_s"), F.col("x.ka").alias("_k"))
+    found = found.join(alike, ["postcode", "number", "street", "kind"], "left").select("n", "place", F.coalesce("_s", "street").alias("street"), F.coalesce("_k", "kind").alias("kind"), "number", "postcode", "compass")
     # no locality at all: street and number that occur in one place only
-    lost = beam.where("place is null").select("address", "street", "number", "postcode", "compass")
-    spots = found.groupBy("street", "number").agg(F.countDistinct("place").alias("k"), F.first("place").alias("place")).where("k = 1").select("street", "number", "place")
-    rest = lost.join(spots, ["street", "number"], "left").select("address", F.coalesce("place", F.lit("?")).alias("place"), "street", "number", "postcode", "compass")
-    return found.select("address", "place", "street", "number", "postcode", "compass").union(rest.where("place <> '?'"))
+    lost = beam.where("place is null").select("n", "street", "kind", "number", "postcode", "compass")
+    spots = found.join(lost.select("street", "kind", "number").distinct(), ["street", "kind", "number"], "left_semi").groupBy("street", "kind", "number").agg(F.countDistinct("place").alias("m"), F.first("place").alias("place")).where("m = 1").drop("m")
+    last = lost.join(spots, ["street", "kind", "number"])
+    return found.union(last.select(*found.columns))
 
 
 def same_location(left: DataFrame, right: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(address_a, address_b) of the distinct addresses of left(address) and right(address) that denote one location, equal
-    strings included. Null and empty addresses, and those without number or street, denote none."""
+    """(id_a, id_b) of the records of left(id, address) and right(id, address) whose addresses differ as strings and denote
+    one location. Null and empty addresses, and those without number or street, denote none; a record delivered twice
+    counts once."""
     scratch = scratch or Scratch(left.sparkSession, "gazetteer")
-    either = left.select("address").union(right.select("address"))
-    parsed = scratch.cut(read_addresses(either))
-    spot = scratch.cut(resolve(parsed, scratch))
-    part = lambda d, x: spot.join(d.select("address").distinct(), "address", "left_semi").select("place", "street", "number", F.col("address").alias(f"address_{x}"), F.col("postcode").alias(f"p{x}"), F.col("compass").alias(f"c{x}"))
-    pairs = part(left, "a").join(part(right, "b"), ["place", "street", "number"])
+    tag = lambda d, x: d.select(F.lit(x).alias("side"), "id", "address").where("id is not null and trim(address) <> ''")
+    read = scratch.cut(read_addresses(tag(left, "a").union(tag(right, "b"))))
+    spot = resolve(read, scratch).join(read.select("n", "side", "id", "raw"), "n")
+    spot = scratch.cut(spot)
+    part = lambda x: spot.where(F.col("side") == x).select("place", "street", "kind", "number", F.col("id").alias(f"id_{x}"), F.col("raw").alias(f"r{x}"), F.col("postcode").alias(f"p{x}"), F.col("compass").alias(f"c{x}"))
+    pairs = part("a").join(part("b"), ["place", "street", "kind", "number"])
     agree = lambda x, y: (F.col(x) == F.col(y)) | (F.col(x) == "") | (F.col(y) == "")
-    return pairs.where(agree("pa", "pb") & agree("ca", "cb")).select("address_a", "address_b").distinct()
+    return pairs.where((F.col("ra") != F.col("rb")) & agree("pa", "pb") & agree("ca", "cb")).select("id_a", "id_b").distinct()

@@ -12,6 +12,8 @@ from kinlink.llm.groups import connected_groups, linked_ids
 from kinlink.llm.language import LanguageModel, language_segments, mislabelled, model_of
 from kinlink.llm.leaks import leaked_items
 from kinlink.llm.lookalike import consistent_forms, same_looking
+from kinlink.llm.matching import match
+from kinlink.llm.packing import packed
 from kinlink.llm.variants import name_variants, nearest
 from kinlink.ship import ship
 
@@ -27,12 +29,21 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.union(_read(spark, sf_dir, "train_source2").select(F.lit("address"), "entity_id", "business_address"))
 
 
+def p1_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of p1_found with their confidence."""
+    ours = lambda i: _read(spark, sf_dir, TABLES[i]).select(F.col("entity_id").alias("id"), F.col("business_name").alias("name"), F.col("business_address").alias("address"))
+    links = linked_ids(_read(spark, sf_dir, "train_labels"), "source1_entity_id", "matched_entity_ids").where("u is not null").select(F.col("u").alias("id"), F.col("v").alias("other"))
+    pairs, _ = match(ours(1), ours(2).union(ours(3)), links)
+    return pairs.select(F.col("a_id").alias("source1_entity_id"), F.col("b_id").alias("entity_id"), "confidence")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_scored(spark, sf_dir).select("source1_entity_id", "entity_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two = (_read(spark, sf_dir, TABLES[i]).select("entity_id", F.col("business_address").alias("address")).where("entity_id is not null").distinct() for i in (1, 2))
-    pairs = same_location(one.select("address"), two.select("address")).where("address_a <> address_b")
-    left = one.select(F.col("entity_id").alias("source1_entity_id"), F.col("address").alias("address_a"))
-    right = two.select(F.col("entity_id").alias("source2_entity_id"), F.col("address").alias("address_b"))
-    return pairs.join(left, "address_a").join(right, "address_b").select("source1_entity_id", "source2_entity_id").distinct()
+    one, two = (_read(spark, sf_dir, TABLES[i]).select(F.col("entity_id").alias("id"), F.col("business_address").alias("address")) for i in (1, 2))
+    return same_location(one, two).select(F.col("id_a").alias("source1_entity_id"), F.col("id_b").alias("source2_entity_id"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +67,10 @@ def _model(spark: SparkSession, sf_dir: str) -> LanguageModel:
     return model_of(_read(spark, sf_dir, "lang_samples"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_limits"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items")).distinct()
 
@@ -73,7 +88,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(linked_ids(_read(spark, sf_dir, "matching_results"), "source1_entity_id", "matched_entity_ids")).select("group_id", "entity_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_forms, p5_found, p7_found, p8_found, p8_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scored, p2_found, p3_found, p4_found, p4_forms, p5_found, p6_packed, p7_found, p8_found, p8_segments)}
 
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """
