@@ -89,6 +89,9 @@ def read_address(raw: str | None) -> Address | None:
                 parts.append(words[:j])
                 words = words[j:]
             words = ["@", *(w for w in words if w != "@")]
+        first = 1 if words[:1] == ["@"] else 0
+        if words[first : first + 1] == ["r"] and len(words) > first + 1:
+            words[first] = "rue"
         if words:
             parts.append(words)
     at = next((i for i, p in enumerate(parts) if any(w in STREETS for w in p[1:] or p) and ("@" in p or len(p) > 1)), None)
@@ -115,8 +118,6 @@ def read_address(raw: str | None) -> Address | None:
 
 def _cut(words: list[str]) -> tuple[list[str], list[str]]:
     """A street and what follows it without a comma. Kinds that stand before the name leave no sign of its end."""
-    if words and words[0] == "r" and len(words) > 1:
-        words = ["rue", *words[1:]]
     if words and STREETS.get(words[0]) in FRONT | EITHER:
         return words, []
     for i, w in enumerate(words):
