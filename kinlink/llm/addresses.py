@@ -31,8 +31,9 @@ _NUMBER = re.compile(r"(?<![\w/-])#?\s?(\d{1,5})\s*(?:/\s*\d+\s*)?(bis|ter|quate
 _HASH = re.compile(r"#\s?\d+[a-z]?\b")
 _AREA = re.compile(r"\b(?:industrial|indl|ind)\s*\.?\s*area\b|\bi\s*\.?\s*a\b\.?")
 _PIECE = re.compile(r"[^\W_]+|@")
-_HINT_LANDMARK = re.compile(r"\b(?:n(?:ea)?r|opp|opposite|behind|beside|next|adj|adjacent|facing|in front)\b")
+_HINTS_LANDMARK = ("near", "nr", "opp", "behind", "beside", "next", "adj", "facing", "in front")
 _HINT_IA = re.compile(r"\bi\s*\.?\s*a\b")
+_HINTS_UNIT = ("ste", "suite", "unit", "ap", "flat", "rm", "room", "bld", "build", "bat", "esc", "fl", "block", "blk", "tower")
 _HINT_UNIT = re.compile(r"\b(?:s(?:ui)?te|unit|ap|flat|r(?:oo)?m|b(?:ui)?ld|bat|esc|f(?:oo)?l|block|blk|tower)")
 _HINT_PREFIX = re.compile(r"\b(?:plot|door|shop|house)\b")
 _CUT = re.compile(r"[,;]|\s-\s|\s-(?=\w)|-\s")
@@ -54,7 +55,7 @@ def read_address(raw: str | None) -> Address | None:
     t = ascii_lower(devanagari_to_latin(latin_reading(visual_fold(raw)))).replace("’", "'")
     if not t.strip():
         return None
-    if _HINT_LANDMARK.search(t):
+    if any(h in t for h in _HINTS_LANDMARK):
         t = _LANDMARK.sub(" , ", t)
     if "cedex" in t:
         t = _CEDEX.sub(" ", t)
@@ -70,7 +71,7 @@ def read_address(raw: str | None) -> Address | None:
         postcode, t = m[1] + m[2], t[: m.start()] + " ; " + t[m.end() :]
     if "ind" in t or "i" in t and _HINT_IA.search(t):
         t = _AREA.sub(" industrialarea ", t)
-    if _HINT_UNIT.search(t):
+    if any(h in t for h in _HINTS_UNIT) and _HINT_UNIT.search(t):
         t = _UNIT.sub(" , ", t)
     if "no" in t or "n°" in t or "nº" in t or _HINT_PREFIX.search(t):
         t = _PREFIX.sub(" ", t)

@@ -72,6 +72,8 @@ def _cluster(counted: DataFrame, text: str, by: tuple[str, ...] = ()) -> DataFra
     frequent a spelling is in the corpus."""
     index = counted.where("n > 1").select(*by, F.col(text).alias("s"), F.col(text).alias("a"), F.col("n").alias("n_a"))
     probes = counted.select(*by, F.col(text).alias("s"), F.col(text).alias("b"), F.col("n").alias("n_b"))
+    if by:  # nothing in its group is frequent enough for a spelling to be taken for it: it needn't be looked up
+        probes = probes.withColumn("_m", F.max("n_b").over(W.partitionBy(*by))).where(f"_m >= {RATIO} * n_b").drop("_m")
     near = similar(index, probes, by=by).where(f"a <> b and n_a >= {RATIO} * n_b").select(*by, "a", "b", "n_a", "edits").distinct()
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.schema)
     best = near.mapInPandas(_check, kinds).groupBy(*by, "b").agg(F.min(F.struct("edits", (-F.col("n_a")).alias("m"), "a")).alias("best"))
@@ -80,9 +82,10 @@ def _cluster(counted: DataFrame, text: str, by: tuple[str, ...] = ()) -> DataFra
 
 
 def resolve(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(n, place, street, kind, number, postcode, compass) of read addresses: the gazetteer entry (place, street, kind) that
+    """(n, side, id, raw, place, street, kind, number, postcode, compass) of read addresses: the gazetteer entry (place, street, kind) that
     each is resolved to. An address may keep several equally good entries; one that fits none is left out. Only what a
     step needs of an address is moved: its number n and the parts compared there."""
+    read = rows
     rows = rows.where("number <> '' and street <> ''")
     # areas by postcode, counted once; everything about areas and postcodes is made of these counts
     named = scratch.cut(rows.select("postcode", F.explode(F.array_distinct("areas")).alias("area")).where("length(area) > 3").groupBy("postcode", "area").agg(F.count(F.lit(1)).alias("n")))
@@ -92,7 +95,7 @@ def resolve(rows: DataFrame, scratch: Scratch) -> DataFrame:
     coded = named.where("postcode <> ''").join(areas, "area").groupBy("postcode", "canon").agg(F.sum("n").alias("n"))
     place_of = scratch.cut(coded.groupBy("postcode").agg(F.min(F.struct((-F.col("n")).alias("m"), "canon")).alias("x")).select("postcode", F.col("x.canon").alias("place")))
 
-    kept = ("n", "number", "postcode", "compass", "street", "kind", "bare")
+    kept = ("n", "side", "id", "raw", "number", "postcode", "compass", "street", "kind", "bare")
     # by postcode: one hypothesis
     sure = rows.where("postcode <> ''").select(*kept).join(place_of, "postcode", "left").withColumn("place", F.coalesce("place", "postcode"))
     # else localities named by a whole part (2) or by its beginning or end (1); the best few are kept
@@ -108,15 +111,20 @@ def resolve(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     # how often a street is spelled so anywhere tells spellings from slips even where a locality has it just twice
     streets = known.groupBy("place", "kind", "street").agg(F.sum(F.when(F.col("bare"), 0).otherwise(1)).alias("k"))
+    scratch.drop(read)
+    streets = scratch.cut(streets)
     anywhere = streets.groupBy("street", "kind").agg(F.sum("k").alias("n"))
     canon = scratch.cut(_cluster(streets.drop("k").join(anywhere, ["street", "kind"]), "street", ("place", "kind")))
     # a street without its kind is that of its name, if the locality has but one of that name
     only = canon.where("street = canon and kind <> ''").groupBy("place", "street").agg(F.count(F.lit(1)).alias("m"), F.first("kind").alias("full")).where("m = 1").drop("m")
     lookup = canon.where("kind <> ''").select("place", "kind", "street", "canon", F.col("kind").alias("full"), "n").union(canon.where("kind = ''").join(only, ["place", "street"], "left").select("place", "kind", "street", F.col("street").alias("canon"), F.coalesce("full", F.lit("")), "n"))
-    found = known.join(lookup.withColumnRenamed("n", "_n"), ["place", "kind", "street"]).select("n", "place", F.col("canon").alias("street"), F.col("full").alias("kind"), "number", "postcode", "compass", (F.col("score") + F.when(F.col("_n") > 1, 1).otherwise(0)).alias("score"))
+    found = known.join(lookup.withColumnRenamed("n", "_n"), ["place", "kind", "street"]).select("n", "side", "id", "raw", "place", F.col("canon").alias("street"), F.col("full").alias("kind"), "number", "postcode", "compass", (F.col("score") + F.when(F.col("_n") > 1, 1).otherwise(0)).alias("score"))
     guessed = found.where("postcode = ''")
     top = guessed.groupBy("n").agg(F.max("score").alias("top"))
-    found = scratch.cut(found.where("postcode <> ''").drop("score").union(guessed.join(top, "n").where("score = top").drop("top", "score")))
+    # several equally good hypotheses stay, a worse one goes; addresses with a postcode have but one
+    guessed = guessed.join(top, "n").where("score = top").select("n", "side", "id", "raw", "place", "street", "kind", "number", "postcode", "compass")
+    found = scratch.cut(found.where("postcode <> ''").drop("score").union(guessed))
+    scratch.drop(known)
     # what is left of slips: streets somewhat alike at one number of one postcode are one entry, under its commonest spelling
     doubt = found.where("postcode <> ''").groupBy("postcode", "number").agg(F.min(F.struct("street", "kind")).alias("a"), F.max(F.struct("street", "kind")).alias("b")).where("a <> b").select("postcode", "number")
     at = found.join(doubt, ["postcode", "number"], "left_semi").select("postcode", "number", "street", "kind").distinct().join(anywhere, ["street", "kind"], "left").fillna(0, ["n"])
@@ -124,9 +132,9 @@ def resolve(rows: DataFrame, scratch: Scratch) -> DataFrame:
     alike = renamed("b").join(renamed("a"), ["postcode", "number"]).where("a <> b and (na > nb or na = nb and a < b)").withColumn("d", F.levenshtein("a", "b"))
     alike = alike.where((F.col("d") <= F.lit(LIKENESS) * F.least(F.length("a"), F.length("b"))) | (F.col("sa") == F.col("sb")) & ((F.col("ka") == "") | (F.col("kb") == "")))
     alike = alike.groupBy("postcode", "number", "sb", "kb").agg(F.max(F.struct("na", (-F.col("d")).alias("e"), "sa", "ka")).alias("x")).select("postcode", "number", F.col("sb").alias("street"), F.col("kb").alias("kind"), F.col("x.sa").alias("_s"), F.col("x.ka").alias("_k"))
-    found = found.join(alike, ["postcode", "number", "street", "kind"], "left").select("n", "place", F.coalesce("_s", "street").alias("street"), F.coalesce("_k", "kind").alias("kind"), "number", "postcode", "compass")
+    found = found.join(alike, ["postcode", "number", "street", "kind"], "left").select("n", "side", "id", "raw", "place", F.coalesce("_s", "street").alias("street"), F.coalesce("_k", "kind").alias("kind"), "number", "postcode", "compass")
     # no locality at all: street and number that occur in one place only
-    lost = beam.where("place is null").select("n", "street", "kind", "number", "postcode", "compass")
+    lost = beam.where("place is null").select("n", "side", "id", "raw", "street", "kind", "number", "postcode", "compass")
     spots = found.join(lost.select("street", "kind", "number").distinct(), ["street", "kind", "number"], "left_semi").groupBy("street", "kind", "number").agg(F.countDistinct("place").alias("m"), F.first("place").alias("place")).where("m = 1").drop("m")
     last = lost.join(spots, ["street", "kind", "number"])
     return found.union(last.select(*found.columns))
@@ -139,8 +147,7 @@ def same_location(left: DataFrame, right: DataFrame, scratch: Scratch | None = N
     scratch = scratch or Scratch(left.sparkSession, "gazetteer")
     tag = lambda d, x: d.select(F.lit(x).alias("side"), "id", "address").where("id is not null and trim(address) <> ''")
     read = scratch.cut(read_addresses(tag(left, "a").union(tag(right, "b"))))
-    spot = resolve(read, scratch).join(read.select("n", "side", "id", "raw"), "n")
-    spot = scratch.cut(spot)
+    spot = scratch.cut(resolve(read, scratch))
     part = lambda x: spot.where(F.col("side") == x).select("place", "street", "kind", "number", F.col("id").alias(f"id_{x}"), F.col("raw").alias(f"r{x}"), F.col("postcode").alias(f"p{x}"), F.col("compass").alias(f"c{x}"))
     pairs = part("a").join(part("b"), ["place", "street", "kind", "number"])
     agree = lambda x, y: (F.col(x) == F.col(y)) | (F.col(x) == "") | (F.col(y) == "")

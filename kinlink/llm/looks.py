@@ -41,7 +41,7 @@ def visual_fold(text: str) -> str:
     """One spelling of the characters of a text without changing its letters: compatibility forms replaced, invisible
     characters removed, every run of blanks one space, canonically composed. Case and accents stay."""
     if text.isascii():
-        return _BLANK.sub(" ", _INVISIBLE.sub("", text)).strip()
+        return " ".join((text if text.isprintable() else _INVISIBLE.sub("", text)).split())
     text = "".join([c if c < "\x80" else _compat(c) for c in text])
     text = _BLANK.sub(" ", _INVISIBLE.sub("", text)).strip()
     return unicodedata.normalize("NFC", text)
