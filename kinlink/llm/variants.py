@@ -123,7 +123,7 @@ def _tokens_apart(a: list[str], b: list[str]) -> float | None:
     if len(a) == len(b):
         for x in sorted(a, key=len, reverse=True):
             got = min(((_near(x, y), y) for y in rest), default=(9.0, ""))
-            if got[0] > 3:
+            if got[0] > 3 or got[0] == _LONGER and len(a) == 1:  # a lone word that goes on is another name
                 total = 9.0
                 break
             total += got[0]
@@ -135,6 +135,10 @@ def _tokens_apart(a: list[str], b: list[str]) -> float | None:
     return min(found) if found else None
 
 
+#: cost of a word that is the beginning of another
+_LONGER = 2.5
+
+
 def _near(x: str, y: str) -> float:
     """Edits between two tokens if they may be one; 9 if not."""
     n = min(len(x), len(y))
@@ -145,7 +149,7 @@ def _near(x: str, y: str) -> float:
     if n >= 3 and bx == by and len(bx) >= 3 and any(5 * sum(c in "aeiou" for c in t) <= len(t) for t in (x, y)):
         return 1.5
     if len(x) >= 4 and len(y) >= 4 and (x.startswith(y) or y.startswith(x)) and n >= 5 and abs(len(x) - len(y)) <= 3:
-        return 2.5
+        return _LONGER
     return 9.0
 
 
@@ -200,7 +204,7 @@ def apart(a: tuple[list[str], bool, dict], b: tuple[list[str], bool, dict]) -> f
     if common_conflict(ra["common"], rb["common"]) or given_conflict(ra["given"], rb["given"], ra["initials"], rb["initials"]):
         return None
     for x, y in ((ra, rb), (rb, ra)):  # a person's name against a trade of which the person's says nothing
-        if x["given"] and not y["given"] and not y["initials"] and y["common"] and not {skeleton(w)[:3] for w in x["common"]} & {skeleton(w)[:3] for w in y["common"]}:
+        if (x["given"] or x["initials"] and not x["common"]) and not y["given"] and not y["initials"] and y["common"] and not {skeleton(w)[:3] for w in x["common"]} & {skeleton(w)[:3] for w in y["common"]}:
             return None
     if not ra["rare"] or not rb["rare"]:
         x, y = (sorted(map(skeleton, [*r["given"], *r["common"]])) for r in (ra, rb))
