@@ -5,9 +5,9 @@ from __future__ import annotations
 import html
 import re
 
-_TIME = re.compile(r"[^\n]*\d[ \t]*-+>[ \t]*\d[^\n]*|\{\d+\}\{\d+\}")
+_TIME = re.compile(r"(?m)^[^\n]*\d[ \t]*-+>[ \t]*\d[^\n]*|\{\d+\}\{\d+\}")
 _TAG = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}|<(?:font|i|b|u|/)[^<>]{0,80}>", re.I)
-_SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|♪[^♪]*♪?|♫[^♫]*♫?|（[^（）]*）|^\s*#[^#\n]*#?\s*$", re.M)
+_SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|♪[^♪]*♪?|♫[^♫]*♫?|（[^（）]*）|^[ \t]*#[^#\n]*#?[ \t]*$", re.M)
 _SPEAKER = re.compile(r"(?m)^[ \t]*[-–—]*[ \t]*(?:[^\W\d_a-zа-яß-öø-ÿ][^\n:,.!?a-zа-яß-öø-ÿ]{1,30}|[A-ZÀ-Þ][\w'-]{1,24}):(?=\s)")
 _DASH = re.compile(r"(?m)^[ \t]*[-–—•>]+[ \t]*")
 _ADVERT = re.compile(
