@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from kinlink.plans.pipelines import rule_matches
 from kinlink.sources.tables import RECORD
 
-SCHEMA = RECORD.add("src", "int").add("rid", "bigint")
+SCHEMA = T.StructType([*RECORD.fields, T.StructField("src", T.IntegerType()), T.StructField("rid", T.LongType())])
 
 
 def resolve_stream(spark: SparkSession, folder: str, targets: DataFrame, out: str, checkpoint: str, resolve: Callable[[DataFrame, DataFrame], DataFrame] = rule_matches) -> StreamingQuery:
