@@ -164,8 +164,10 @@ def segments(logp: np.ndarray, languages: list[str]) -> list[Segment]:
     together, a change costing as much as evidence of exp(3) to 1, so that short lines follow their neighbours. A stretch
     that the model is not sure of is ``und``."""
     top = int(logp.sum(axis=0).argmax())
-    best = logp.max(axis=1)
-    if (best - logp[:, top]).max() < _SWITCH:
+    # m stretches of other languages take m - 1 changes at least, a single one takes one: below half a change each, none pays
+    gain = np.cumsum(logp - logp[:, [top]], axis=0, dtype=float)
+    before = np.minimum.accumulate(np.concatenate([np.zeros_like(gain[:1]), gain[:-1]]), axis=0)
+    if (gain - before).max() < _SWITCH / 2:
         path = np.full(len(logp), top)
     else:
         score, back = logp[0], []

@@ -1,7 +1,9 @@
+import numpy as np
 import pandas as pd
 import pytest
 
-from kinlink.llm.language import label_code, language_segments, languages_of, mislabelled, train, unadorned
+from kinlink.llm import language
+from kinlink.llm.language import label_code, language_segments, languages_of, mislabelled, segments, train, unadorned
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +47,26 @@ def test_documents(spark, model):
 
 def test_no_speech(model):
     assert languages_of([None, "", "[MUSIC]"], model) == [(0, 0, [])] * 3
+
+
+def _best(logp):
+    """Score of the best path, by trying every change."""
+    score = logp[0]
+    for row in logp[1:]:
+        score = np.maximum(score, score.max() - 3.0) + row
+    return score.max()
+
+
+def test_runs_of_slight_evidence_are_searched(monkeypatch):
+    logp = np.full((30, 2), -1.0)
+    logp[:20, 1] -= 2
+    logp[20:, 0] -= 2
+    assert [(a, b, x) for a, b, x, _ in segments(logp, ["de", "nl"])] == [(0, 19, "de"), (20, 29, "nl")]
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        n = int(rng.integers(1, 12))
+        z = np.repeat(rng.normal(0, 1.2, (n, 3)), rng.integers(1, 4), axis=0)
+        monkeypatch.setattr(language, "LEAST", 0.0)
+        path = [(f, t, int(x)) for f, t, x, _ in segments(z, ["0", "1", "2"])]
+        got = sum(z[f : t + 1, x].sum() for f, t, x in path) - 3.0 * (len(path) - 1)
+        assert abs(got - _best(z)) < 1e-6
