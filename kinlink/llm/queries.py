@@ -14,7 +14,7 @@ from kinlink.llm.leaks import leaked_items
 from kinlink.llm.lookalike import consistent_forms, same_looking
 from kinlink.llm.matching import match
 from kinlink.llm.packing import packed
-from kinlink.llm.variants import name_variants, nearest
+from kinlink.llm.variants import forms, verified
 from kinlink.ship import ship
 
 TABLES = {1: "train_source1", 2: "train_source2", 3: "train_source3"}
@@ -48,7 +48,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, three = (_read(spark, sf_dir, TABLES[i]).select("entity_id", F.col("business_name").alias("name")).where("entity_id is not null").distinct() for i in (1, 3))
-    pairs = nearest(name_variants(one.select("name"), three.select("name"))).where("name_a <> name_b")
+    pairs = forms(verified(one.select("name"), three.select("name"))).where("name_a <> name_b")
     left = one.select(F.col("entity_id").alias("source1_entity_id"), F.col("name").alias("name_a"))
     right = three.select(F.col("entity_id").alias("source3_entity_id"), F.col("name").alias("name_b"))
     return pairs.join(left, "name_a").join(right, "name_b").select("source1_entity_id", "source3_entity_id").distinct()

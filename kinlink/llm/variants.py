@@ -5,7 +5,8 @@ trade are set apart from the rare ones; the sound keys of the rare tokens, sorte
 linked by the pigeonhole segment join (passjoin), in both orders of two words. Names written together as one word probe
 with all their beginnings and ends; names written without vowels are linked by their consonants. A linked pair is then
 read as a whole: trades and given names may be missing or shortened on one side but must not contradict each other.
-Of the names that a string is near to, only the nearest are kept.
+A pair whose cost is small for its length stands whatever other names there are; of the others, the nearest to each of
+the names in a string are kept.
 """
 
 from __future__ import annotations
@@ -218,6 +219,12 @@ def apart(a: tuple[list[str], bool, dict], b: tuple[list[str], bool, dict]) -> f
     return d
 
 
+def sure(cost: float, a: tuple[list[str], bool, dict], b: tuple[list[str], bool, dict]) -> bool:
+    """The cost is small for the shorter of two names: 1, or 2 from 12 letters on."""
+    n = min(len("".join(r["rare"])) or len(t[0]) for t, _, r in (a, b))
+    return cost <= (2 if n >= 12 else 1)
+
+
 def _verify(words: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(words)
@@ -233,10 +240,11 @@ def _verify(words: dict[str, int]):
         for b in batches:
             out = []
             for x, y in zip(b["name_a"], b["name_b"], strict=True):
-                costs = [c for p in read(x) for q in read(y) if (c := apart(p, q)) is not None]
-                if costs:
-                    out.append((x, y, float(min(costs))))
-            yield pd.DataFrame(out, columns=["name_a", "name_b", "cost"])
+                for alt, q in enumerate(read(y)):
+                    costs = [(c, not sure(c, p, q)) for p in read(x) if (c := apart(p, q)) is not None]
+                    if costs:
+                        out.append((x, y, alt, float(min(costs)[0]), not min(u for _, u in costs)))
+            yield pd.DataFrame(out, columns=["name_a", "name_b", "alt", "cost", "sure"])
 
     return run
 
@@ -244,6 +252,11 @@ def _verify(words: dict[str, int]):
 def name_variants(left: DataFrame, right: DataFrame, scratch: Scratch | None = None, share: float = COMMON_SHARE) -> DataFrame:
     """(name_a, name_b, cost) of the distinct names of left(name) and right(name) that are forms of one name, equal strings
     included. Null, empty and letterless names are forms of nothing. cost: edits between their rare words."""
+    return verified(left, right, scratch, share).groupBy("name_a", "name_b").agg(F.min("cost").alias("cost"))
+
+
+def verified(left: DataFrame, right: DataFrame, scratch: Scratch | None = None, share: float = COMMON_SHARE) -> DataFrame:
+    """(name_a, name_b, alt, cost, sure) of the pairs of name_variants, one row for each name alt in the string name_b."""
     scratch = scratch or Scratch(left.sparkSession, "variants")
     side = lambda d, x: d.select(F.lit(x).alias("side"), "name").where("trim(name) <> ''").distinct()
     read = scratch.cut(read_names(side(left, "a").union(side(right, "b"))))
@@ -256,10 +269,16 @@ def name_variants(left: DataFrame, right: DataFrame, scratch: Scratch | None = N
     as_one = keyed.where("use = 't'").select("side", "name").distinct()
     whole = lambda x: keyed.where("use = 'p'").join(as_one, ["side", "name"]).where(F.col("side") == x).select(F.col("name").alias(f"name_{x}"), "s")
     found = found.union(similar(index("a", "f"), whole("b")).select("name_a", "name_b")).union(similar(index("b", "f"), whole("a")).select("name_a", "name_b"))
-    return scratch.cut(found.distinct().mapInPandas(_verify(words), "name_a string, name_b string, cost double"))
+    return scratch.cut(found.distinct().mapInPandas(_verify(words), "name_a string, name_b string, alt int, cost double, sure boolean"))
 
 
 def nearest(pairs: DataFrame, slack: float = 0.0) -> DataFrame:
     """Pairs whose cost is that of the nearest name_a for their name_b, or within ``slack`` of it."""
     least = pairs.groupBy("name_b").agg(F.min("cost").alias("least"))
     return pairs.join(least, "name_b").where(F.col("cost") <= F.col("least") + slack).drop("least")
+
+
+def forms(pairs: DataFrame) -> DataFrame:
+    """(name_a, name_b) of verified pairs that are sure, or the nearest to one of the names in name_b."""
+    least = pairs.groupBy("name_b", "alt").agg(F.min("cost").alias("least"))
+    return pairs.join(least, ["name_b", "alt"]).where("sure or cost <= least").select("name_a", "name_b").distinct()

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from kinlink.llm.names import Vocabulary, read_name
 from kinlink.llm.passjoin import allowed, index_keys, probe_keys, similar
-from kinlink.llm.variants import _osa, apart, name_variants, nearest
+from kinlink.llm.variants import _osa, apart, forms, name_variants, nearest, verified
 
 
 def _levenshtein(a, b):
@@ -68,3 +68,11 @@ def test_nulls_empty_and_nearest(spark):
     assert got == {("Salgagrave Tailoring", "salgagrave tailorng"), ("Salgagrave Tailoring", "Salgagrave Tailoring")}
     empty = spark.createDataFrame([], "name string")
     assert name_variants(empty, empty).count() == 0
+
+
+def test_a_nearer_name_takes_no_form_away(spark):
+    one = spark.createDataFrame([("Salgagravemond Tailoring",), ("Salgagravmond Tailoring",), ("Perlatisbury Marble",)], "name string")
+    three = spark.createDataFrame([("SALGAGRAVEMOND TAILORING",), ("Salgagravemond Tailoring DBA Perlatisburi Marbles",)], "name string")
+    got = {(r.name_a, r.name_b) for r in forms(verified(one, three)).collect()}
+    assert {(a.name, "SALGAGRAVEMOND TAILORING") for a in one.limit(2).collect()} <= got
+    assert ("Perlatisbury Marble", "Salgagravemond Tailoring DBA Perlatisburi Marbles") in got
