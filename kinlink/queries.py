@@ -392,9 +392,9 @@ def index_signature(spark, d):
 @query()
 def classifier_scores(spark, d):
     """Held-out pairs with their probability: trees fitted to the other entities' pairs."""
-    return M.trained(X.all_features(_listed(spark, d), *_sides(spark, d)), _labels(spark, d), rounds=10)[1]
+    return M.trained(X.all_features(_listed(spark, d), *_sides(spark, d)), _labels(spark, d))[1]
 
 
 @query()
 def classifier_report(spark, d):
-    return M.report(X.all_features(_listed(spark, d), *_sides(spark, d)), _labels(spark, d), rounds=10)
+    return M.report(X.all_features(_listed(spark, d), *_sides(spark, d)), _labels(spark, d))
