@@ -102,10 +102,22 @@ def audit(spark, a) -> int:
 
 def validate(spark, a) -> int:
     required = tables.read_ids(spark, f"{a.folder}/test_source1.tsv")
-    read = lambda p, c: tables.read_lists(spark, p).select(F.col("id").alias("source1_entity_id"), F.col("list").alias(c))
+    # rows without a tab are findings of their own and no lists
+    read = lambda p, c: tables.read_lists(spark, p).where("list is not null").select(F.col("id").alias("source1_entity_id"), F.col("list").alias(c))
     targets = tables.read_ids(spark, f"{a.folder}/test_source2.tsv").union(tables.read_ids(spark, f"{a.folder}/test_source3.tsv")) if a.check_ids else None
-    candidates = read(a.candidates, "candidate_entity_ids") if a.candidates else None
-    found = V.summary(V.all_findings(read(a.matches, "matched_entity_ids"), candidates, required, targets)).collect()
+    lists, findings = {}, []
+    for file, path, column in (("matching_results", a.matches, "matched_entity_ids"), ("candidate_pairs", a.candidates, "candidate_entity_ids")):
+        if path:
+            wrong, readable = V.malformed(tables.read_lines(spark, path), file, column)
+            findings.append(wrong)
+            if readable:
+                lists[file] = read(path, column)
+    if lists:
+        findings.append(V.all_findings(lists.get("matching_results"), lists.get("candidate_pairs"), required, targets).select("file", "severity", "check", "subject"))
+    every = findings[0]
+    for f in findings[1:]:
+        every = every.union(f)
+    found = V.summary(every).collect()
     for r in found:
         print(f"{r.severity}: {r.file}: {r.check}: {r.n}, such as {r.examples}")
     return int(any(r.severity == "error" for r in found))

@@ -19,6 +19,22 @@ def _finding(df: DataFrame, check: str, subject: Column) -> DataFrame:
     return df.select(F.lit(check).alias("check"), F.coalesce(subject, F.lit("")).alias("subject")).distinct()
 
 
+def malformed(lines: DataFrame, file: str, column: str) -> tuple[DataFrame, bool]:
+    """(file, severity, check, subject) of what is wrong with the raw lines(line, value) of a result file, and whether its
+    rows can be checked: not so if it is empty or its header isn't that of the column."""
+    spark = lines.sparkSession
+    one = lambda check, subject: spark.createDataFrame([(file, "error", check, subject)], "file string, severity string, check string, subject string")
+    first = lines.where("line = 1").first()
+    if first is None:
+        return one("empty_file", ""), False
+    if "\t" not in first.value and "," in first.value:
+        return one("comma_separated", first.value), False
+    if [c.strip().lower() for c in first.value.split("\t")] != ["source1_entity_id", column]:
+        return one("wrong_header", first.value), False
+    rows = lines.where((F.col("line") > 1) & (F.trim("value") != "") & (F.instr("value", "\t") == 0))
+    return rows.select(F.lit(file).alias("file"), F.lit("error").alias("severity"), F.lit("row_without_tab").alias("check"), F.concat_ws(":", F.col("line").cast("string"), "value").alias("subject")), True
+
+
 def duplicate_rows(lists: DataFrame) -> DataFrame:
     return _finding(lists.groupBy("source1_entity_id").count().where("count > 1"), "duplicate_row", F.col("source1_entity_id"))
 
@@ -58,8 +74,8 @@ def unmatched_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame
     return _finding(m.join(c, ["source_id", "element"], "left_anti"), "match_not_candidate", F.concat_ws(":", "source_id", "element"))
 
 
-def all_findings(matches: DataFrame, candidates: DataFrame | None, required: DataFrame, targets: DataFrame | None) -> DataFrame:
-    """(file, severity, check, subject) of every finding. Checks of ids need the targets and are left out without them."""
+def all_findings(matches: DataFrame | None, candidates: DataFrame | None, required: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """(file, severity, check, subject) of every finding in the lists that there are, one at least. Checks of ids need the targets and are left out without them."""
     out = []
     for name, lists, column in (("matching_results", matches, "matched_entity_ids"), ("candidate_pairs", candidates, "candidate_entity_ids")):
         if lists is None:
@@ -68,7 +84,7 @@ def all_findings(matches: DataFrame, candidates: DataFrame | None, required: Dat
         if targets is not None:
             found.append(unknown_ids(lists, column, targets))
         out += [f.select(F.lit(name).alias("file"), "check", "subject") for f in found]
-    if candidates is not None:
+    if matches is not None and candidates is not None:
         out.append(unmatched_candidates(matches, candidates).select(F.lit("matching_results").alias("file"), "check", "subject"))
     every = out[0]
     for f in out[1:]:

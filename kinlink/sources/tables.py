@@ -51,6 +51,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(F.get(F.split("value", "\t"), F.lit(0))).alias("entity_id")).where("entity_id <> ''").distinct()
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of a file as it is, lines counted from 1."""
+    return numbered(spark.read.text(path), "line").withColumn("line", F.col("line") + 1)
+
+
 def read_lists(spark: SparkSession, path: str) -> DataFrame:
     """(line, id, list) of a result file, parted at the first tab; malformed lines have a null list."""
     lines = numbered(spark.read.text(path), "line").where("line > 0 and trim(value) <> ''")

@@ -77,3 +77,20 @@ def test_command_line(spark, tmp_path, small):
     args[3], args[5] = str(tmp_path / "matching_results.tsv"), str(tmp_path / "candidate_pairs.tsv")
     assert cli.main(args) == 0
     assert cli.main(["match", str(tmp_path / "none")]) == 2
+
+
+def test_malformed_files(spark, tmp_path):
+    head = "Source1_Entity_Id \tmatched_entity_ids\n"
+    for text, want, readable in [
+        ("", [("empty_file", "")], False),
+        ("source1_entity_id,matched_entity_ids\nS1-1,S2-1\n", [("comma_separated", "source1_entity_id,matched_entity_ids")], False),
+        ("source1_entity_id\tids\nS1-1\tS2-1\n", [("wrong_header", "source1_entity_id\tids")], False),
+        (head + "S1-1\tS2-1\n\nS1-2\n  \nS1-3\n", [("row_without_tab", "4:S1-2"), ("row_without_tab", "6:S1-3")], True),
+        (head + "S1-1\tS2-1\n", [], True),
+    ]:
+        found, ok = V.malformed(tables.read_lines(spark, write(tmp_path / "r.tsv", text)), "matching_results", "matched_entity_ids")
+        assert sorted((r.check, r.subject) for r in found.collect()) == want and ok == readable
+    for i in (1, 2, 3):
+        write(tmp_path / f"test_source{i}.tsv", HEADER + f"S{i}-1\tA\tB\tUS\n")
+    for text, code in ((head + "S1-1\tS2-1\n", 0), (head + "S1-1\tS2-1\nS1-1\n", 1), ("id\tlist\nS1-1\tS2-1\n", 1)):
+        assert cli.main(["validate", str(tmp_path), "--matches", write(tmp_path / "r.tsv", text)]) == code
