@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from kinlink.scratch import Scratch
 
 GROUP = 4000
+#: capacities of one call
+MOST_CAPACITIES = 1000
 _TIMING = re.compile(r"(?m)^[ \t﻿]*(?:\d+[ \t]*|[^\n]*-+>[^\n]*)$\n?")
 
 
@@ -132,7 +134,9 @@ def packed(documents: DataFrame, capacities: DataFrame, limits: Limits | None =
     jobs = capacities.select("limit_id", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).where("limit_id is not null and capacity_tokens is not null").distinct()
     each = sizes.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     # a handful of capacities is the bounded side here; every group is packed once for each
-    wanted = [(r.limit_id, r.capacity_tokens) for r in jobs.limit(1000).collect()]
+    wanted = [(r.limit_id, r.capacity_tokens) for r in jobs.limit(MOST_CAPACITIES + 1).collect()]
+    if len(wanted) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
     if any(c < 1 for _, c in wanted):
         raise ValueError("capacities must be positive")
     if not wanted:

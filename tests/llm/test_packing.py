@@ -55,3 +55,10 @@ def test_table(spark):
     assert packed(docs.limit(0), limits).count() == 0 and packed(docs, limits.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packed(docs, spark.createDataFrame([(1, 0)], limits.schema))
+
+
+def test_capacities_are_never_dropped(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    many = spark.createDataFrame([(i, 10 + i) for i in range(1001)], "limit_id int, capacity_tokens int")
+    with pytest.raises(ValueError):
+        packed(docs, many)
