@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Shuffle files of plans that nothing refers to any longer go when the driver collects its garbage, which it may
+        not do for hours; between large steps that is asked for."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "_scratch_path", None):
             delete(self.spark, path)
