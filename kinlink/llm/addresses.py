@@ -4,10 +4,10 @@ about the location and are left out."""
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
-from kinlink.llm.looks import latin_reading, visual_fold
-from kinlink.llm.translit import ascii_lower, devanagari_to_latin, sound
+from kinlink.llm.translit import plain, sound
 
 # Words for kinds of streets and how they are shortened.
 STREETS = dict(
@@ -24,18 +24,15 @@ _FLOOR = re.compile(rf"\b{_ORDINAL}\s*(?:floor|flr|fl|etage)\b\.?")
 _WING = re.compile(r"\s*/\s*[a-z]\s*-?\s*wing\b|\b[a-z]\s+wing\b|\bwing\s+[a-z]\b")
 _UNIT = re.compile(r"\b(?:suite|ste|unit|apartment|apt|appt|appartement|flat|room|rm|bldg|building|batiment|bat|escalier|esc|floor|flr|fl|etage|block|blk|tower)\b\.?\s*#?\s*(?:no\b\.?\s*)?(?:\d+[a-z]?|[a-z])\b")
 _CEDEX = re.compile(r"\bcedex\b\s*\d{0,2}\b")
-_PIN6 = re.compile(r"(?:\bpin\b(?:\s*code)?\W*)?(?<!\d)(\d{3})[ -]?(\d{3})(?!\d)")
-_ZIP5 = re.compile(r"(?<!\d)(\d{5})(?:-\d{4})?(?!\d)")
 _PREFIX = re.compile(r"\b(?:plot|door|shop|house|flat|site|gala|survey|sy|h|d)\W{0,2}\s*no\b\W{0,2}\s*(?=\d)|\b(?:plot|door|shop|house)\b\W{0,2}\s*(?=\d)|\bno\b\W{0,2}\s*(?=\d)|\bn[°º]\s*(?=\d)")
 _NUMBER = re.compile(r"(?<![\w/-])#?\s?(\d{1,5})\s*(?:/\s*\d+\s*)?(bis|ter|quater)?(?:\s*-?\s*([a-d]))?(?![\w])")
 _HASH = re.compile(r"#\s?\d+[a-z]?\b")
 _AREA = re.compile(r"\b(?:industrial|indl|ind)\s*\.?\s*area\b|\bi\s*\.?\s*a\b\.?")
 _PIECE = re.compile(r"[^\W_]+|@")
-_HINTS_LANDMARK = ("near", "nr", "opp", "behind", "beside", "next", "adj", "facing", "in front")
-_HINT_IA = re.compile(r"\bi\s*\.?\s*a\b")
-_HINTS_UNIT = ("ste", "suite", "unit", "ap", "flat", "rm", "room", "bld", "build", "bat", "esc", "fl", "block", "blk", "tower")
-_HINT_UNIT = re.compile(r"\b(?:s(?:ui)?te|unit|ap|flat|r(?:oo)?m|b(?:ui)?ld|bat|esc|f(?:oo)?l|block|blk|tower)")
-_HINT_PREFIX = re.compile(r"\b(?:plot|door|shop|house)\b")
+_HINT_IA = re.compile(r"i(?<!\wi)\s*\.?\s*a\b").search
+_HINT_UNIT = re.compile(r"\b(?:s(?:ui)?te|unit|ap|flat|r(?:oo)?m|b(?:ui)?ld|bat|esc|f(?:oo)?l|block|blk|tower)").search
+_RUN = re.compile(r"\d+").finditer
+_PIN = re.compile(r"\bpin\b(?:\s*code)?\W*").fullmatch
 _CUT = re.compile(r"[,;]|\s-\s|\s-(?=\w)|-\s")
 
 
@@ -45,6 +42,7 @@ class Address(NamedTuple):
     compass: str
     street: str
     areas: list[str]
+    unit: str = ""
 
 
 def read_address(raw: str | None) -> Address | None:
@@ -52,10 +50,10 @@ def read_address(raw: str | None) -> Address | None:
     streets in full at the end of the street; ``12 bis`` is the number 12bis."""
     if not raw:
         return None
-    t = ascii_lower(devanagari_to_latin(latin_reading(visual_fold(raw)))).replace("’", "'")
-    if not t.strip():
+    t = plain(raw)
+    if not t:
         return None
-    if any(h in t for h in _HINTS_LANDMARK):
+    if "near" in t or "nr" in t or "opp" in t or "behind" in t or "beside" in t or "next" in t or "adj" in t or "facing" in t or "in front" in t:
         t = _LANDMARK.sub(" , ", t)
     if "cedex" in t:
         t = _CEDEX.sub(" ", t)
@@ -63,58 +61,99 @@ def read_address(raw: str | None) -> Address | None:
         t = _FLOOR.sub(" , ", t)
     if "wing" in t:
         t = _WING.sub(" ", t)
-    postcode = ""
-    if found := list(_ZIP5.finditer(t)):
-        m = found[-1]
-        postcode, t = m[1], t[: m.start()] + " ; " + t[m.end() :]
-    elif m := _PIN6.search(t):
-        postcode, t = m[1] + m[2], t[: m.start()] + " ; " + t[m.end() :]
-    if "ind" in t or "i" in t and _HINT_IA.search(t):
+    units: list[str] = []
+    postcode, start, end = _postcode(t)
+    if postcode:
+        t = t[:start] + " ; " + t[end:]
+    if "ind" in t or _HINT_IA(t):
         t = _AREA.sub(" industrialarea ", t)
-    if any(h in t for h in _HINTS_UNIT) and _HINT_UNIT.search(t):
+    if ("ste" in t or "suite" in t or "unit" in t or "ap" in t or "flat" in t or "rm" in t or "room" in t or "bld" in t or "build" in t or "bat" in t or "esc" in t or "fl" in t or "block" in t or "blk" in t or "tower" in t) and _HINT_UNIT(t):
+        units = _UNIT.findall(t)
         t = _UNIT.sub(" , ", t)
-    if "no" in t or "n°" in t or "nº" in t or _HINT_PREFIX.search(t):
+    if "no" in t or "plot" in t or "door" in t or "shop" in t or "house" in t or not t.isascii():
         t = _PREFIX.sub(" ", t)
     if "#" in t and _HASH.search(t) and re.search(r"(?<![\d#])\d{1,5}\b", _HASH.sub(" ", t)):
+        units += _HASH.findall(t)
         t = _HASH.sub(" , ", t)
     number = ""
     if m := _NUMBER.search(t):
         number = str(int(m[1])) + (m[2] or "")
         t = t[: m.start()] + " @ " + t[m.end() :]
-    parts: list[list[str]] = []
-    for seg in _CUT.split(t):
-        words = _PIECE.findall(seg.replace("'", " "))
-        if "@" in words:
-            j = words.index("@")
-            if j and any(w in STREETS for w in words[j + 1 :]):  # an area, then number and street, without a comma
-                parts.append(words[:j])
-                words = words[j:]
-            words = ["@", *(w for w in words if w != "@")]
-        first = 1 if words[:1] == ["@"] else 0
-        if words[first : first + 1] == ["r"] and len(words) > first + 1:
-            words[first] = "rue"
-        if words:
-            parts.append(words)
-    at = next((i for i, p in enumerate(parts) if any(w in STREETS for w in p[1:] or p) and ("@" in p or len(p) > 1)), None)
-    marked = next((i for i, p in enumerate(parts) if "@" in p), None)
+    parts = [p for seg in (_CUT.split(t) if "-" in t else t.replace(";", ",").split(",")) for p in _parts(seg)]
+    at = next((i for i, p in enumerate(parts) if p.later and (p.marked or len(p.words) > 1)), None)
+    marked = next((i for i, p in enumerate(parts) if p.marked), None)
     if marked is not None:
-        near = [marked, marked + 1, marked - 1]
-        at = next((i for i in near if 0 <= i < len(parts) and any(w in STREETS for w in parts[i])), at if at is not None else next((i for i in near if 0 <= i < len(parts) and len(parts[i]) > ("@" in parts[i])), None))
-    street, areas = [], []
-    for i, p in enumerate(parts):
-        p = [w for w in p if w != "@" and w != "pin"]
-        if i == at:
-            street, rest = _cut(p)
-            if rest:
-                areas.append(" ".join(map(sound, rest)))
-        elif p:
-            areas.append(" ".join(map(sound, p)))
+        near = [i for i in (marked, marked + 1, marked - 1) if 0 <= i < len(parts)]
+        at = next((i for i in near if parts[i].kind), at if at is not None else next((i for i in near if len(parts[i].words) > parts[i].marked), None))
+    areas = [p.area for i, p in enumerate(parts) if i != at and p.area]
+    unit = next((u for x in units if (u := re.sub(r"\D", "", x))), "")
+    if at is None:
+        return Address(number, postcode, "", "", areas, unit)
+    street, compass, rest = _street_of(parts[at].words)
+    if rest:
+        areas.insert(sum(bool(p.area) for p in parts[:at]), rest)
+    return Address(number, postcode, compass, street, areas, unit)
+
+
+def _postcode(t: str) -> tuple[str, int, int]:
+    """The last five figures on their own, else the first six, which may be cut in two and follow the word pin; where in
+    the text they begin and end."""
+    runs = [m.span() for m in _RUN(t)]
+    for j in range(len(runs) - 1, -1, -1):
+        a, b = runs[j]
+        if b - a == 5:
+            more = j + 1 < len(runs) and runs[j + 1][0] == b + 1 and t[b] == "-" and runs[j + 1][1] - runs[j + 1][0] == 4
+            return t[a:b], a, runs[j + 1][1] if more else b
+    for j, (a, b) in enumerate(runs):
+        if b - a == 3 and j + 1 < len(runs) and runs[j + 1][0] == b + 1 and t[b] in " -" and runs[j + 1][1] - runs[j + 1][0] == 3:
+            code, b = t[a:b] + t[b + 1 : b + 4], b + 4
+        elif b - a == 6:
+            code = t[a:b]
+        else:
+            continue
+        at = t.rfind("pin", 0, a)
+        return code, at if at >= 0 and (not at or not (t[at - 1].isalnum() or t[at - 1] == "_")) and _PIN(t[at:a]) else a, b
+    return "", 0, 0
+
+
+class _Part(NamedTuple):
+    words: tuple[str, ...]
+    marked: bool  # holds the place of the house number
+    kind: bool  # holds a kind of street
+    later: bool  # holds one after its first word, or is one
+    area: str
+
+
+@lru_cache(maxsize=1 << 16)
+def _parts(seg: str) -> tuple[_Part, ...]:
+    """What lies between two commas, as one part or, where an area stands before the house number, two. The same pieces
+    come again and again, so what is read of them is kept."""
+    words = _PIECE.findall(seg.replace("'", " "))
+    out = []
+    if "@" in words:
+        j = words.index("@")
+        if j and any(w in STREETS for w in words[j + 1 :]):  # an area, then number and street, without a comma
+            out.append(words[:j])
+            words = words[j:]
+        words = ["@", *(w for w in words if w != "@")]
+    first = 1 if words[:1] == ["@"] else 0
+    if words[first : first + 1] == ["r"] and len(words) > first + 1:
+        words[first] = "rue"
+    if words:
+        out.append(words)
+    return tuple(_Part(tuple(p), "@" in p, any(w in STREETS for w in p), any(w in STREETS for w in p[1:] or p), " ".join(sound(w) for w in p if w not in ("@", "pin"))) for p in out)
+
+
+@lru_cache(maxsize=1 << 16)
+def _street_of(words: tuple[str, ...]) -> tuple[str, str, str]:
+    """(street, compass point, area that follows the street without a comma)"""
+    street, rest = _cut([w for w in words if w not in ("@", "pin")])
     compass = ""
     if len(street) > 1 and street[0] in COMPASS:
         compass, street = COMPASS[street[0]], street[1:]
     if len(street) > 1 and street[-1] in COMPASS:
         compass, street = COMPASS[street[-1]], street[:-1]
-    return Address(number, postcode, compass, _street(street), areas)
+    return _street(street), compass, " ".join(map(sound, rest))
 
 
 def _cut(words: list[str]) -> tuple[list[str], list[str]]:
@@ -143,18 +182,3 @@ def _street(words: list[str]) -> str:
     kind = STREETS.get(words[-1]) if len(words) > 1 else None
     name = [sound(w) for w in (words[:-1] if kind else words)]
     return " ".join([*name, kind or "?"])
-
-
-def unit_of(raw: str | None) -> str:
-    """Figures of a suite, flat or number sign that isn't the house number; empty if there are none."""
-    if not raw or not ("#" in raw or _HINT_UNIT.search(raw.lower())):
-        return ""
-    t = ascii_lower(latin_reading(visual_fold(raw)))
-    found = [re.sub(r"\D", "", x) for x in _UNIT.findall(t) + _HASH.findall(t)]
-    number = read_number(t)
-    return next((x for x in found if x and x != number), "")
-
-
-def read_number(t: str) -> str:
-    m = _NUMBER.search(_HASH.sub(" ", _UNIT.sub(" ", _FLOOR.sub(" ", t))))
-    return m[1] if m else ""

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
-from kinlink.llm.looks import latin_reading, visual_fold
-from kinlink.llm.translit import ascii_lower, devanagari_to_latin, skeleton, sound
+from kinlink.llm.translit import plain, skeleton, sound
 
 # Legal forms, forms of address and words that say nothing about who is meant.
 LEGAL = frozenset("llc llp pllc inc incorporated corp corporation ltd limited co coy company private pvt p sarl sas sasu sa eurl snc sca scop gie societe ste gmbh ag bv nv spa srl pty plc lp pc lllp kanpani praivet".split())
@@ -32,6 +30,7 @@ _DBA = re.compile(r"\b(?:d ?[./]? ?b ?[./]? ?a|t/a|a\.?k\.?a|trading as|doing bu
 _SITE = re.compile(r"^(?:https?://)?(?:www\.)?([a-z0-9-]+)\.[a-z]{2,8}(?:\.[a-z]{2,3})?/?$")
 _INNER_SITE = re.compile(r"(?:https?://)?(?:www\.[a-z0-9-]+\.[a-z]{2,8}|[a-z0-9-]{5,}\.(?:example|com|fr|in|net|org|biz))\b")
 _BRACKETS = re.compile(r"\((?!p\))([^)]*)\)")
+_MARKED = re.compile(r"[.(/#']").search
 _DOTTED = re.compile(r"\b(?:[a-z]\.){2,}[a-z]?\b\.?")
 
 
@@ -40,7 +39,10 @@ def read_name(raw: str | None) -> list[tuple[list[str], bool]]:
     tag). "A DBA B" holds two names. Null, empty and letterless strings hold none."""
     if not raw:
         return []
-    text = ascii_lower(devanagari_to_latin(latin_reading(visual_fold(raw))))
+    text = plain(raw)
+    if not _MARKED(text) and not ("aka" in text or "dba" in text or "d ba" in text or "b a" in text or "trading" in text or "doing b" in text or "formerly" in text or "nom c" in text):
+        words = _WORD.findall(text)  # neither marks nor a second name: the many plain names
+        return [(words, len(words) == 1 and len(words[0]) >= 14)] if words else []
     out = []
     parts = _DBA.split(_INNER_SITE.sub(" ", text)) if " " in text else [text]
     parts += [m.group() for m in _INNER_SITE.finditer(text)] if " " in text else []
@@ -75,10 +77,42 @@ class Vocabulary:
                     self.close.setdefault(w[:i] + w[i + 1 :], w)
             if len(skeleton(w)) >= 2:
                 self.bones.setdefault(skeleton(w), w)
+        self.short: dict[str, str] = {}  # beginnings of common words that are longer by two letters or more
         self.by_first: dict[str, list[str]] = {}
         for w in ranked:
-            self.by_first.setdefault(w[0], []).append(w)
-        self.meaning = lru_cache(maxsize=1 << 17)(self._meaning)
+            if w not in GIVEN:
+                self.by_first.setdefault(w[0], []).append(w)
+                for n in range(4, min(7, len(w) - 2) + 1):
+                    self.short.setdefault(w[:n], w)
+        self.memo: dict[str, tuple[str, str]] = {}
+
+    def meaning(self, t: str) -> tuple[str, str]:
+        """What _meaning says, a rare word as its sound key. Kept for the words seen last."""
+        got = self.memo.get(t)
+        if got is None:
+            if len(self.memo) >= 1 << 17:
+                self.memo.clear()
+            kind, w = self._meaning(t)
+            got = self.memo[t] = (kind, sound(w) if kind == "rare" else w)
+        return got
+
+    def cut(self, whole: str) -> list[str]:
+        """A name written as one word, cut at known words at its beginning and end. The longest go first; what is left, four
+        letters or more, stays one word."""
+        known = lambda w: w in self.common or w in _PETS or w in SHORT
+        head: list[str] = []
+        tail: list[str] = []
+        for _ in range(8):
+            n = len(whole)
+            if k := next((k for k in range(min(15, n - 4), 3, -1) if known(whole[:k])), 0):
+                head.append(whole[:k])
+                whole = whole[k:]
+            elif k := next((k for k in range(min(15, n - 4), 2, -1) if whole[-k:] in LEGAL or k > 3 and known(whole[-k:])), 0):
+                tail.insert(0, whole[-k:])
+                whole = whole[:-k]
+            else:
+                break
+        return [*head, whole, *tail]
 
     def _meaning(self, t: str) -> tuple[str, str]:
         """(kind, word) of a token: legal, title, noise, given, common, initial, number or rare."""
@@ -98,15 +132,19 @@ class Vocabulary:
             return "common", t
         if len(t) == 1:
             return "initial", t
-        for key in [t, *(t[:i] + t[i + 1 :] for i in range(len(t)))] if len(t) >= 5 else []:
-            if w := (key if key in self.common else self.close.get(key)):
-                if abs(len(w) - len(t)) <= 1:
-                    return ("given" if w in _PETS else "common"), w
-        if len(t) >= 6 and any(t[:i] + t[i + 1 :] in _LONG_LEGAL for i in range(len(t))) or t in _LONG_LEGAL:
+        n = len(t)
+        less = [t[:i] + t[i + 1 :] for i in range(n)] if n >= 5 else []
+        for key in (t, *less) if n >= 5 else ():
+            w = key if key in self.common else self.close.get(key)
+            if w and -1 <= len(w) - n <= 1:
+                return ("given" if w in _PETS else "common"), w
+        if t in _LONG_LEGAL or n >= 6 and not _LONG_LEGAL.isdisjoint(less):
             return "legal", t
-        if 3 <= len(t) <= 7:
+        if 4 <= n <= 7 and (w := self.short.get(t)):
+            return "common", w
+        if n == 3 and not set(t[1:]) & set("aeiou"):
             for w in self.by_first.get(t[0], ()):
-                if len(w) >= len(t) + 2 and (len(t) >= 4 and w.startswith(t) or (len(t) <= 3 and not set(t[1:]) & set("aeiou") and _within(t, w))) and w not in GIVEN:
+                if len(w) >= 5 and _within(t, w):
                     return "common", w
         if len(t) >= 4 and (w := self.bones.get(skeleton(t))) and abs(len(w) - len(t)) <= 2 and len(skeleton(t)) >= 3:
             return ("given" if w in _PETS else "common"), w
@@ -114,13 +152,15 @@ class Vocabulary:
 
     def reading(self, tokens: list[str]) -> dict:
         """core: the sound keys of rare tokens; common: trades and the like; given: given names; all: in order."""
-        got = [(k, w) for k, w in map(self.meaning, tokens)]
-        rare = [sound(w) for k, w in got if k == "rare"]
-        common = [w for k, w in got if k == "common"]
-        given = [w for k, w in got if k == "given"]
-        initials = [w for k, w in got if k == "initial"]
-        raw = [t for t, (k, _) in zip(tokens, got, strict=True) if k == "rare"]
-        return {"rare": rare, "common": common, "given": given, "initials": initials, "raw": raw}
+        got: dict[str, list[str]] = {"rare": [], "common": [], "given": [], "initial": [], "raw": []}
+        for t in tokens:
+            kind, w = self.meaning(t)
+            if kind == "rare":
+                got["raw"].append(t)
+            if kind in got:
+                got[kind].append(w)
+        got["initials"] = got.pop("initial")
+        return got
 
 
 def _within(short: str, long: str) -> bool:
@@ -128,6 +168,11 @@ def _within(short: str, long: str) -> bool:
     return all(c in it for c in short)
 
 
+def roots(name: str) -> set[str]:
+    """The given names that a name is a form of."""
+    return _PETS.get(name, {name})
+
+
 def given_alike(a: str, b: str) -> bool:
     return a == b or bool(_PETS.get(a, {a}) & _PETS.get(b, {b})) or (len(a) == 1 or len(b) == 1) and a[0] == b[0]
 

@@ -31,7 +31,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of p1_found with their confidence."""
-    ours = lambda i: _read(spark, sf_dir, TABLES[i]).select(F.col("entity_id").alias("id"), F.col("business_name").alias("name"), F.col("business_address").alias("address"))
+    ours = lambda i: _read(spark, sf_dir, TABLES[i]).select(F.col("entity_id").alias("id"), F.col("business_name").alias("name"), F.col("business_address").alias("address"), "country")
     links = linked_ids(_read(spark, sf_dir, "train_labels"), "source1_entity_id", "matched_entity_ids").where("u is not null").select(F.col("u").alias("id"), F.col("v").alias("other"))
     pairs, _ = match(ours(1), ours(2).union(ours(3)), links)
     return pairs.select(F.col("a_id").alias("source1_entity_id"), F.col("b_id").alias("entity_id"), "confidence")

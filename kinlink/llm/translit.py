@@ -6,6 +6,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+from kinlink.llm.looks import latin_reading, visual_fold
+
 # The Devanagari letters in their order (Unicode block), with their usual Latin readings.
 CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l v sh sh s h".split(), strict=True))
 NUKTA = {"क": "q", "ख": "kh", "ग": "g", "ज": "z", "ड": "r", "ढ": "rh", "फ": "f", "य": "y"}
@@ -59,19 +61,30 @@ def ascii_lower(text: str) -> str:
     return "".join([c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)]).translate(_EXTRA)
 
 
-_SOUNDS = [(re.compile(a), b) for a, b in (("ee", "i"), ("oo", "u"), ("ph", "f"), ("w", "v"), ("ck|q", "k"), (r"c(?=h)", "k"), ("kh", "k"), ("c", "k"), ("y", "i"), ("z", "s"), (r"(.)\1+", r"\1"))]
+def plain(raw: str) -> str:
+    """Lower case in Latin letters, where that can be had, without accents, look-alikes and odd characters."""
+    if raw.isascii():
+        return " ".join(raw.lower().split()) if raw.isprintable() else visual_fold(raw).lower()
+    return ascii_lower(devanagari_to_latin(latin_reading(visual_fold(raw))))
+
+
+# Letters exchanged in writing down what is heard, replaced in this order.
+SOUNDS = (("ee", "i"), ("oo", "u"), ("ph", "f"), ("w", "v"), ("ck", "k"), ("q", "k"), ("ch", "kh"), ("kh", "k"), ("c", "k"), ("y", "i"), ("z", "s"))
+_DOUBLED = re.compile(r"(.)\1+")
+_NO_VOWELS = str.maketrans("", "", "aeiou")
 
 
 @lru_cache(maxsize=1 << 17)
 def sound(word: str) -> str:
     """One spelling for letters that are exchanged in writing down what is heard; doubled letters count once."""
-    for a, b in _SOUNDS:
-        word = a.sub(b, word)
-    return word
+    for a, b in SOUNDS:
+        word = word.replace(a, b)
+    return _DOUBLED.sub(r"\1", word) if _DOUBLED.search(word) else word
 
 
 @lru_cache(maxsize=1 << 17)
 def skeleton(word: str) -> str:
     """The consonants of the sound key."""
     s = sound(word)
-    return re.sub(r"(.)\1+", r"\1", re.sub("[aeiou]", "", s)) or s[:1]
+    bones = s.translate(_NO_VOWELS)
+    return (_DOUBLED.sub(r"\1", bones) if _DOUBLED.search(bones) else bones) or s[:1]

@@ -48,6 +48,19 @@ def common_words(readings: DataFrame, share: float = COMMON_SHARE) -> dict[str,
     return {r.t: r.n for r in rows}
 
 
+def corpus_words(names: DataFrame, scratch: Scratch, share: float = COMMON_SHARE) -> dict[str, int]:
+    """common_words of all distinct names(name). Names in ASCII are cut into words in the JVM, which reads sites and second
+    names a little differently from read_name; only the others go through it."""
+    names = names.where("name is not null").distinct()
+    ascii_ = F.col("name").rlike(r"^\p{ASCII}*$")
+    cut = F.split(F.regexp_replace(F.lower("name"), "[.']", ""), "[^a-z0-9]+")
+    words = names.where(ascii_).select(F.array_distinct(cut).alias("t")).union(read_names(names.where(~ascii_)).where("alt = 0").select(F.array_distinct("tokens")))
+    every = F.concat(F.array_remove("t", ""), F.array(F.lit("")))  # the empty word stands for the name
+    counts = scratch.cut(words.select(F.explode(every).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST_COMMON} or t = ''"))
+    total = sum(r.n for r in counts.where("t = ''").collect())
+    return {r.t: r.n for r in counts.where((F.length("t") > 1) & (F.col("n") >= share * total)).collect()}
+
+
 def _keys(words: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(words)
