@@ -32,6 +32,7 @@ _PIECE = re.compile(r"[^\W_]+|@")
 _HINT_IA = re.compile(r"i(?<!\wi)\s*\.?\s*a\b").search
 _HINT_UNIT = re.compile(r"\b(?:s(?:ui)?te|unit|ap|flat|r(?:oo)?m|b(?:ui)?ld|bat|esc|f(?:oo)?l|block|blk|tower)").search
 _RUN = re.compile(r"\d+").finditer
+_FIGURES = re.compile(r"\d+").findall
 _PIN = re.compile(r"\bpin\b(?:\s*code)?\W*").fullmatch
 _CUT = re.compile(r"[,;]|\s-\s|\s-(?=\w)|-\s")
 
@@ -80,13 +81,17 @@ def read_address(raw: str | None) -> Address | None:
         number = str(int(m[1])) + (m[2] or "")
         t = t[: m.start()] + " @ " + t[m.end() :]
     parts = [p for seg in (_CUT.split(t) if "-" in t else t.replace(";", ",").split(",")) for p in _parts(seg)]
-    at = next((i for i, p in enumerate(parts) if p.later and (p.marked or len(p.words) > 1)), None)
-    marked = next((i for i, p in enumerate(parts) if p.marked), None)
+    at = marked = None
+    for i, p in enumerate(parts):
+        if at is None and p.later and (p.marked or len(p.words) > 1):
+            at = i
+        if marked is None and p.marked:
+            marked = i
     if marked is not None:
         near = [i for i in (marked, marked + 1, marked - 1) if 0 <= i < len(parts)]
         at = next((i for i in near if parts[i].kind), at if at is not None else next((i for i in near if len(parts[i].words) > parts[i].marked), None))
     areas = [p.area for i, p in enumerate(parts) if i != at and p.area]
-    unit = next((u for x in units if (u := re.sub(r"\D", "", x))), "")
+    unit = next((u for x in units if (u := re.sub(r"\D", "", x))), "") if units else ""
     if at is None:
         return Address(number, postcode, "", "", areas, unit)
     street, compass, rest = _street_of(parts[at].words)
@@ -98,6 +103,13 @@ def read_address(raw: str | None) -> Address | None:
 def _postcode(t: str) -> tuple[str, int, int]:
     """The last five figures on their own, else the first six, which may be cut in two and follow the word pin; where in
     the text they begin and end."""
+    for figures in reversed(_FIGURES(t)):
+        if len(figures) == 5:
+            a = t.rfind(figures)
+            b = a + 5
+            if (a and t[a - 1].isdigit()) or t[b : b + 1].isdigit() or t[b : b + 1] == "-":
+                break  # within a longer number further on, or with a second part: the long way
+            return figures, a, b
     runs = [m.span() for m in _RUN(t)]
     for j in range(len(runs) - 1, -1, -1):
         a, b = runs[j]

@@ -187,7 +187,7 @@ def same_location(left: DataFrame, right: DataFrame, scratch: Scratch | None = N
     scratch = scratch or Scratch(left.sparkSession, "gazetteer")
     tag = lambda d, x: d.select(F.lit(x).alias("side"), "id", "address").where("id is not null and trim(address) <> ''")
     read = scratch.cut(read_addresses(tag(left, "a").union(tag(right, "b"))))
-    spot = scratch.cut(resolve(read, scratch))
+    spot = resolve(read, scratch)
     part = lambda x: spot.where(F.col("side") == x).select(F.xxhash64("entry", "number").alias("k"), F.col("id").alias(f"id_{x}"), F.col("raw").alias(f"r{x}"), F.col("postcode").alias(f"p{x}"), F.col("compass").alias(f"c{x}"))
     pairs = part("a").join(part("b"), "k")
     agree = lambda x, y, none: (F.col(x) == F.col(y)) | (F.col(x) == none) | (F.col(y) == none)

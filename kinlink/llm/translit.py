@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 
-from kinlink.llm.looks import latin_reading, visual_fold
+from kinlink.llm.looks import latin_reading, script, visual_fold
 
 # The Devanagari letters in their order (Unicode block), with their usual Latin readings.
 CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l v sh sh s h".split(), strict=True))
@@ -68,10 +68,26 @@ def strings(column: pa.Array) -> list:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
+class _Plain(dict):
+    """What plain() makes of a character on its own; letters of other scripts than Latin stay as they are."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        own = "" if unicodedata.combining(ch) else ch if script(ch) not in ("", "latin") else " " if ch.isspace() else ascii_lower(visual_fold(ch))
+        self[code] = own
+        return own
+
+
+_PLAIN = _Plain()
+
+
 def plain(raw: str) -> str:
     """Lower case in Latin letters, where that can be had, without accents, look-alikes and odd characters."""
     if raw.isascii():
         return " ".join(raw.lower().split()) if raw.isprintable() else visual_fold(raw).lower()
+    text = raw.translate(_PLAIN)
+    if text.isascii():  # no other script: no letter depends on those around it
+        return " ".join(text.split())
     return ascii_lower(devanagari_to_latin(latin_reading(visual_fold(raw))))
 
 
