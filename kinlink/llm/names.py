@@ -99,7 +99,11 @@ class Vocabulary:
     def cut(self, whole: str) -> list[str]:
         """A name written as one word, cut at known words at its beginning and end. The longest go first; what is left, four
         letters or more, stays one word."""
-        known = lambda w: w in self.common or w in _PETS or w in SHORT
+        def known(w: str) -> bool:
+            if w in self.common or w in _PETS or w in SHORT:
+                return True  # or one edit from a long word
+            return len(w) >= 6 and (w in self.close or any(x in self.common or x in self.close for x in (w[:i] + w[i + 1 :] for i in range(len(w))) if len(x) >= 6))
+
         head: list[str] = []
         tail: list[str] = []
         for _ in range(8):
@@ -107,7 +111,7 @@ class Vocabulary:
             if k := next((k for k in range(min(15, n - 4), 3, -1) if known(whole[:k])), 0):
                 head.append(whole[:k])
                 whole = whole[k:]
-            elif k := next((k for k in range(min(15, n - 4), 2, -1) if whole[-k:] in LEGAL or k > 3 and known(whole[-k:])), 0):
+            elif k := next((k for k in range(min(15, n - 4), 2, -1) if whole[-k:] in LEGAL or (known(whole[-k:]) if k > 3 else tail and whole[-k:] in TRADES)), 0):
                 tail.insert(0, whole[-k:])
                 whole = whole[:-k]
             else:
@@ -177,15 +181,13 @@ def given_alike(a: str, b: str) -> bool:
     return a == b or bool(_PETS.get(a, {a}) & _PETS.get(b, {b})) or (len(a) == 1 or len(b) == 1) and a[0] == b[0]
 
 
+def trades_alike(v: str, w: str) -> bool:
+    return v == w or v[:4] == w[:4] or len(x := skeleton(v)[:4]) > 2 and x == skeleton(w)[:4]
+
+
 def common_conflict(a: list[str], b: list[str]) -> bool:
     """Both hold a word of a trade that the other doesn't."""
-    x, y = {skeleton(w) for w in a}, {skeleton(w) for w in b}
-    left, right = x - y, y - x
-    if not left or not right:
-        return False
-    left = {p for p in left if not any(p[:3] == q[:3] for q in right)}
-    right = {q for q in right if not any(p[:3] == q[:3] for p in x - y)}
-    return bool(left and right)
+    return bool(a and b) and any(not any(trades_alike(v, w) for w in b) for v in a) and any(not any(trades_alike(v, w) for w in a) for v in b)
 
 
 def given_conflict(a: list[str], b: list[str], initials_a: list[str], initials_b: list[str]) -> bool:

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: errors allowed at most
+MOST = 3
+
+
 def allowed(length: int) -> int:
     """Errors allowed for an indexed string: none below 4 letters, 1 below 7, 2 below 18, else 3."""
     return 0 if length < 4 else 1 if length < 7 else 2 if length < 18 else 3
@@ -75,5 +79,5 @@ def similar(indexed: DataFrame, probes: DataFrame, text: str = "s", by: tuple[st
     p = probes.withColumn("_k", _keys(probe_keys, text)).withColumnRenamed(text, "_b").withColumn("_k", F.xxhash64("_k", *by))
     limit = _allowed(F.length("_a"))
     # the threshold of levenshtein() is a constant: the widest band, then the one of this length
-    near = i.join(p, ["_k", *by]).withColumn("edits", F.levenshtein("_a", "_b", 3)).where((F.col("edits") >= 0) & (F.col("edits") <= limit))
+    near = i.join(p, ["_k", *by]).withColumn("edits", F.levenshtein("_a", "_b", MOST)).where((F.col("edits") >= 0) & (F.col("edits") <= limit))
     return near.drop("_k", "_a", "_b")

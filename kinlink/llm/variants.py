@@ -2,30 +2,36 @@
 
 Names are read into tokens (names.read_name) once per distinct string. Tokens that are common in the corpus or name a
 trade are set apart from the rare ones; the sound keys of the rare tokens, sorted and joined, are the core. Cores are
-linked by the pigeonhole segment join (passjoin), in both orders of two words. Names written together as one word probe
-with all their beginnings and ends; names written without vowels are linked by their consonants. A linked pair is then
-read as a whole: trades and given names may be missing or shortened on one side but must not contradict each other.
-A pair whose cost is small for its length stands whatever other names there are; of the others, the nearest to each of
-the names in a string are kept.
+linked by the pigeonhole segment join (passjoin), in both orders of two words, unless their trades or given names have
+nothing in common. Names written together as one word are cut at known words at both ends, and compared as a whole too;
+names written without vowels are linked by their consonants. A linked pair is then read as a whole: trades and given names
+may be missing or shortened on one side but must not contradict each other. A pair whose cost is small for its length
+stands; of the others, the nearest to each of the names in a string are kept (see forms).
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.names import NOISE, Vocabulary, common_conflict, given_alike, given_conflict, read_name
-from kinlink.llm.passjoin import allowed, similar
+from kinlink.llm.names import LEGAL, NOISE, Vocabulary, common_conflict, given_conflict, read_name, roots, trades_alike
+from kinlink.llm.passjoin import MOST, allowed, similar
 from kinlink.llm.translit import skeleton, sound
+from kinlink.llm.translit import strings as strings_of
 from kinlink.scratch import Scratch
 
 #: a token in at least this share of all names counts as common
 COMMON_SHARE = 0.002
 LEAST_COMMON = 6
 READING = "alt int, tokens array<string>, together boolean"
+Reading = tuple[list[str], bool, dict]
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,42 +67,84 @@ def corpus_words(names: DataFrame, scratch: Scratch, share: float = COMMON_SHARE
     return {r.t: r.n for r in counts.where((F.length("t") > 1) & (F.col("n") >= share * total)).collect()}
 
 
+def readings(name: str, vocabulary: Vocabulary) -> list[Reading]:
+    """(tokens, together, what they are) of the names in a string. A name written as one word is cut at known words."""
+    out = []
+    for tokens, together in read_name(name):
+        pieces = vocabulary.cut(tokens[0]) if together else tokens
+        out.append((tokens, together, vocabulary.reading(pieces)))
+    return out
+
+
 def _keys(words: dict[str, int]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(words)
         for b in batches:
-            out = []
-            for side, name, tokens, together in zip(b["side"], b["name"], b["tokens"], b["together"], strict=True):
-                tokens = list(tokens)
-                r = vocabulary.reading(tokens)
-                own = [(side, name, *x) for x in strings(tokens, bool(together), r)]
-                out += own
-            yield pd.DataFrame(out, columns=["side", "name", "use", "s"])
+            at: list[int] = []
+            out: list[tuple[str, str, int, int]] = []
+            for i, name in enumerate(strings_of(b["name"])):
+                for r in readings(name, vocabulary):
+                    m = marks(r[2])
+                    new = [(use, s, m, bag(s)) for use, s in strings(*r)]
+                    out += new
+                    at += [i] * len(new)
+            kept = b.select(["side", "n"]).take(pa.array(at, pa.int64()))
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True))], names=["side", "n", "use", "s", "m", "g"])
 
     return run
 
 
+def wholes(tokens: list[str], together: bool) -> list[str]:
+    """A name as one word; one written so also without an "and" that may stand in it."""
+    if not together:
+        return [sound("".join(t for t in tokens if t not in NOISE))]
+    whole = tokens[0]
+    return [sound(whole), *(sound(whole[: m.start()] + whole[m.end() :]) for m in re.finditer("and|et", whole[:-4]) if m.start() > 3)]
+
+
+def bag(s: str) -> int:
+    """A bit for each letter, and one for each that comes twice: an edit changes at most two of them."""
+    out = 0
+    for c in s:
+        bit = 1 << (ord(c) & 31)
+        out |= bit << 32 if out & bit else bit
+    return out if out < 1 << 63 else out - (1 << 64)
+
+
+#: bits for trades and for given names
+TRADE_BITS = 36
+GIVEN_BITS = 26
+
+
+@lru_cache(maxsize=1 << 16)
+def _bit(word: str, bits: int) -> int:
+    return 1 << zlib.crc32(word.encode()) % bits
+
+
+def marks(r: dict) -> int:
+    """Sets of bits of the trades and the given names of a name: two names whose sets don't meet are forms of none."""
+    out = 0
+    for w in r["common"]:
+        out |= _bit(skeleton(w)[:2], TRADE_BITS)
+    for w in () if r["initials"] else r["given"]:
+        for root in roots(w):
+            out |= _bit(root, GIVEN_BITS) << TRADE_BITS
+    return out
+
+
 def strings(tokens: list[str], together: bool, r: dict) -> list[tuple[str, str]]:
-    """(use, string) of a name. use: c core to be indexed, p core to probe with, b and q the same for consonants, t probes
-    of a name written as one word, f the whole name as one word."""
+    """(use, string) of a name. use: c core to be indexed, p core to probe with, b and q the same for consonants, f the whole
+    name as one word, w the same of a name written so."""
     rare = r["rare"]
     out: list[tuple[str, str]] = []
-    if together:
-        whole = sound(tokens[0])
-        out += [("t", whole[:n]) for n in range(5, min(28, len(whole)) + 1)] + [("t", whole[-n:]) for n in range(5, min(28, len(whole) - 1) + 1)]
-        return [*out, ("c", whole), ("p", whole)]
     core = "".join(sorted(rare)) or "".join(sorted(map(sound, [*r["given"], *r["common"]])))
     if not core:
         return []
-    out += [("c", core), ("p", core)]
-    if len(rare) == 2:
-        out.append(("p", "".join(sorted(rare, reverse=True))))
-    elif len(rare) > 2:
-        out.append(("p", "".join(rare)))
-    if len(rare) > 1 and "".join(rare) != core:
-        out.append(("c", "".join(rare)))
-    whole = sound("".join(t for t in tokens if t not in NOISE))
-    out.append(("f", whole))
+    for order in dict.fromkeys((core, "".join(rare), "".join(reversed(rare)) if len(rare) == 2 else "")):
+        if order:
+            out += [("c", order), ("p", order)] if order != "".join(reversed(rare)) or order == core else [("p", order)]
+    out += [("w" if together else "f", w) for w in wholes(tokens, together)]
     bones = "".join(sorted(map(skeleton, rare)))
     if len(bones) >= 3:
         out.append(("b", bones))
@@ -131,8 +179,13 @@ def _tokens_apart(a: list[str], b: list[str]) -> float | None:
     as joined."""
     if not a or not b:
         return None
-    joined = [("".join(sorted(a)), "".join(sorted(b))), ("".join(a), "".join(b))]
+    joined = {("".join(sorted(a)), "".join(sorted(b))), ("".join(a), "".join(b))}
+    if len(a) != len(b):  # one of them written together: in any order
+        joined |= {("".join(reversed(a)), "".join(b)), ("".join(a), "".join(reversed(b)))}
     best = min(_osa(x, y, 3) for x, y in joined)
+    n = min(len("".join(a)), len("".join(b)))
+    if n < 5:  # so short that any edit makes another name
+        return 0.0 if not best else None
     total, rest = 0.0, list(b)
     if len(a) == len(b):
         for x in sorted(a, key=len, reverse=True):
@@ -144,7 +197,10 @@ def _tokens_apart(a: list[str], b: list[str]) -> float | None:
             rest.remove(got[1])
     else:
         total = 9.0
-    limit = 1 if len(joined[0][0]) < 7 else 2 if len(joined[0][0]) < 16 else 3
+    x, y = "".join(a), "".join(b)
+    if min(len(a), len(b)) == 1 and (x.startswith(y) or y.startswith(x)) and abs(len(x) - len(y)) > 1:
+        best = 9  # goes on: another name
+    limit = 1 if n < 7 else 2 if n < 16 else 3
     found = [x for x in (total, float(best) if best <= limit else 9.0) if x < 9]
     return min(found) if found else None
 
@@ -167,58 +223,21 @@ def _near(x: str, y: str) -> float:
     return 9.0
 
 
-def _glued(whole: str, tokens: list[str], r: dict) -> float | None:
-    """Edits between a name written as one word and another's tokens."""
-    target = sound(whole)
-    rare = r["rare"]
-    best = 9.0
-    for order in ([*rare], sorted(rare), list(reversed(rare))):
-        core = "".join(order)
-        if len(core) < 5:
-            continue
-        most = 1 if len(core) < 9 else 2
-        for n in range(max(4, len(core) - most), len(core) + most + 1):
-            for part, rest in ((target[:n], target[n:]), (target[-n:], target[:-n])):
-                d = _osa(core, part, most)
-                if d <= most and d < best and _spelled(rest, r):
-                    best = d
-    full = sound("".join(t for t in tokens if t not in NOISE))
-    d = _osa(full, target, 3)
-    if d <= 3 and len(full) >= 10:
-        best = min(best, d)
-    return best if best < 9 else None
-
-
-def _spelled(rest: str, r: dict) -> bool:
-    """The rest of a name written as one word is made of the other's common words, given names or legal forms."""
-    known = [sound(w) for w in (*r["common"], *r["given"])]
-    for _ in range(6):
-        if len(rest) < 3:
-            return True
-        hit = next((w for w in known if rest[:3] == w[:3] or given_alike(rest[: len(w)], w)), None)
-        if hit is None:
-            return rest in ("ltd", "llk", "ink", "korp", "sarl", "sas", "eurl", "pvtltd", "limited") or any(given_alike(rest, g) for g in r["given"])
-        n = 3
-        while n < min(len(rest), len(hit)) and rest[n] == hit[n]:
-            n += 1
-        known.remove(hit)
-        rest = rest[n:]
-    return not rest
-
-
-def apart(a: tuple[list[str], bool, dict], b: tuple[list[str], bool, dict]) -> float | None:
+def apart(a: Reading, b: Reading) -> float | None:
     """Cost of taking two read names as forms of one; None if they aren't."""
     (ta, ga, ra), (tb, gb, rb) = a, b
-    if ga and gb:
-        x, y = sound(ta[0]), sound(tb[0])
-        d = _osa(x, y, 3)
-        return float(d) if d <= allowed(min(len(x), len(y))) else None
-    if ga or gb:
-        return _glued(ta[0], tb, rb) if ga else _glued(tb[0], ta, ra)
+    if bare_initials(ta, ra) or bare_initials(tb, rb):
+        return None
+    if ga or gb:  # written as one word: as a whole, whatever it is made of
+        for x in wholes(ta, ga):
+            for y in wholes(tb, gb):
+                most = allowed(min(len(x), len(y)))
+                if min(len(x), len(y)) >= 10 and (d := _osa(x, y, most)) <= most:
+                    return float(d)
     if common_conflict(ra["common"], rb["common"]) or given_conflict(ra["given"], rb["given"], ra["initials"], rb["initials"]):
         return None
-    for x, y in ((ra, rb), (rb, ra)):  # a person's name against a trade of which the person's says nothing
-        if (x["given"] or x["initials"] and not x["common"]) and not y["given"] and not y["initials"] and y["common"] and not {skeleton(w)[:3] for w in x["common"]} & {skeleton(w)[:3] for w in y["common"]}:
+    for x, y in ((ra, rb), (rb, ra)):  # a person against one without a given name: no trade but the person's
+        if (x["given"] or x["initials"] and not x["common"]) and not y["given"] and not y["initials"] and any(not any(trades_alike(v, w) for w in x["common"]) for v in y["common"]):
             return None
     if not ra["rare"] or not rb["rare"]:
         x, y = (sorted(map(skeleton, [*r["given"], *r["common"]])) for r in (ra, rb))
@@ -228,36 +247,61 @@ def apart(a: tuple[list[str], bool, dict], b: tuple[list[str], bool, dict]) -> f
         return None
     dropped = bool(ra["common"]) != bool(rb["common"]) and not (ra["given"] or rb["given"])
     if dropped and d > 0:
-        d += 0.5
+        return d + 0.5
+    if not d and (dropped or bool(ra["given"]) != bool(rb["given"])):  # a name in full comes before one that lacks something
+        return 0.25
     return d
 
 
-def sure(cost: float, a: tuple[list[str], bool, dict], b: tuple[list[str], bool, dict]) -> bool:
+def bare_initials(tokens: list[str], r: dict) -> bool:
+    """No more than initials: one short word without vowels to speak it by, no word of a trade and no given name."""
+    words = [t for t in tokens if t not in LEGAL]
+    return len(words) == 1 and len(words[0]) <= 5 and not set(words[0]) & set("aeiouy") and not r["common"] and not r["given"] or all(len(t) == 1 for t in words)
+
+
+def bare(r: dict) -> bool:
+    """A rare word with nothing that says whose it is."""
+    return len(r["rare"]) == 1 and not r["common"] and not r["given"] and not r["initials"]
+
+
+def owner(r: dict) -> int:
+    """A hash of the given names and trades: of what tells apart those who share a rare word."""
+    return zlib.crc32("|".join((*sorted(min(roots(w)) for w in r["given"]), "", *sorted({skeleton(w)[:4] for w in r["common"]}))).encode())
+
+
+def _core(a: Reading, b: Reading) -> int:
+    return min(len("".join(r["rare"])) or len(t[0]) for t, _, r in (a, b))
+
+
+def sure(cost: float, a: Reading, b: Reading) -> bool:
     """The cost is small for the shorter of two names: 1, or 2 from 12 letters on."""
-    n = min(len("".join(r["rare"])) or len(t[0]) for t, _, r in (a, b))
-    return cost <= (2 if n >= 12 else 1)
+    return cost <= (2 if _core(a, b) >= 12 else 1)
+
+
+VERIFIED = "name_a string, name_b string, alt int, cost double, sure boolean, short boolean, bare_a boolean, bare_b boolean, owner_a bigint, owner_b bigint"
 
 
 def _verify(words: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(words)
-        memo: dict[str, list] = {}
+        memo: dict[str, list[Reading]] = {}
 
-        def read(name: str) -> list:
+        def read(name: str) -> list[Reading]:
             if name not in memo:
-                if len(memo) > 200_000:
+                if len(memo) > 50_000:
                     memo.clear()
-                memo[name] = [(t, g, vocabulary.reading(t)) for t, g in read_name(name)]
+                memo[name] = readings(name, vocabulary)
             return memo[name]
 
         for b in batches:
             out = []
             for x, y in zip(b["name_a"], b["name_b"], strict=True):
                 for alt, q in enumerate(read(y)):
-                    costs = [(c, not sure(c, p, q)) for p in read(x) if (c := apart(p, q)) is not None]
-                    if costs:
-                        out.append((x, y, alt, float(min(costs)[0]), not min(u for _, u in costs)))
-            yield pd.DataFrame(out, columns=["name_a", "name_b", "alt", "cost", "sure"])
+                    best = min(((c, not sure(c, p, q), i) for i, p in enumerate(read(x)) if (c := apart(p, q)) is not None), default=None)
+                    if best:
+                        p = read(x)[best[2]]
+                        out.append((x, y, alt, float(best[0]), not best[1], _core(p, q) < 12, bare(p[2]), bare(q[2]), owner(p[2]), owner(q[2])))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in VERIFIED.split(", ")])
 
     return run
 
@@ -272,17 +316,22 @@ def verified(left: DataFrame, right: DataFrame, scratch: Scratch | None = None,
     """(name_a, name_b, alt, cost, sure) of the pairs of name_variants, one row for each name alt in the string name_b."""
     scratch = scratch or Scratch(left.sparkSession, "variants")
     side = lambda d, x: d.select(F.lit(x).alias("side"), "name").where("trim(name) <> ''").distinct()
-    read = scratch.cut(read_names(side(left, "a").union(side(right, "b"))))
-    words = common_words(read, share)
-    keyed = scratch.cut(read.mapInPandas(_keys(words), "side string, name string, use string, s string"))
-    index = lambda x, u: keyed.where((F.col("side") == x) & F.col("use").isin(*u)).select(F.col("name").alias(f"name_{x}"), "s").distinct()
-    found = similar(index("a", "c"), index("b", "pt")).select("name_a", "name_b")
-    found = found.union(similar(index("b", "c"), index("a", "t")).select("name_a", "name_b"))
-    found = found.union(similar(index("a", "b"), index("b", "q")).select("name_a", "name_b")).union(similar(index("b", "b"), index("a", "q")).select("name_a", "name_b"))
-    as_one = keyed.where("use = 't'").select("side", "name").distinct()
-    whole = lambda x: keyed.where("use = 'p'").join(as_one, ["side", "name"]).where(F.col("side") == x).select(F.col("name").alias(f"name_{x}"), "s")
-    found = found.union(similar(index("a", "f"), whole("b")).select("name_a", "name_b")).union(similar(index("b", "f"), whole("a")).select("name_a", "name_b"))
-    return scratch.cut(found.distinct().mapInPandas(_verify(words), "name_a string, name_b string, alt int, cost double, sure boolean"))
+    both = scratch.cut(side(left, "a").union(side(right, "b")).withColumn("n", F.xxhash64("name")))
+    words = corpus_words(both.select("name"), scratch, share)
+    keyed = scratch.cut(both.mapInArrow(_keys(words), "side string, n bigint, use string, s string, m bigint, g bigint"))
+    rows = lambda x, *u: keyed.where((F.col("side") == x) & F.col("use").isin(*u)).select("s", *[F.col(c).alias(f"{c}_{x}") for c in "nmg"]).distinct()
+    meet = lambda mask: (F.col("m_a").bitwiseAND(F.col("m_b")).bitwiseAND(mask) != 0) | (F.col("m_a").bitwiseAND(mask) == 0) | (F.col("m_b").bitwiseAND(mask) == 0)
+    trades = (1 << TRADE_BITS) - 1
+    agree = meet(trades) & meet(((1 << GIVEN_BITS) - 1) << TRADE_BITS)
+    found = None
+    for i, p, marked in ((("a", "c"), ("b", "p"), True), (("a", "b"), ("b", "q"), True), (("b", "b"), ("a", "q"), True), (("a", "f", "w"), ("b", "w"), False), (("b", "f"), ("a", "w"), False)):
+        some = similar(rows(*i), rows(*p)).where(F.bit_count(F.col("g_a").bitwiseXOR(F.col("g_b"))) <= 2 * MOST)
+        some = (some.where(agree) if marked else some).select("n_a", "n_b")
+        found = some if found is None else found.union(some)
+    found = scratch.cut(found.distinct())
+    scratch.release()
+    spelled = lambda x: both.where(F.col("side") == x).select(F.col("n").alias(f"n_{x}"), F.col("name").alias(f"name_{x}"))
+    return scratch.cut(found.join(spelled("a"), "n_a").join(spelled("b"), "n_b").mapInPandas(_verify(words), VERIFIED))
 
 
 def nearest(pairs: DataFrame, slack: float = 0.0) -> DataFrame:
@@ -292,6 +341,13 @@ def nearest(pairs: DataFrame, slack: float = 0.0) -> DataFrame:
 
 
 def forms(pairs: DataFrame) -> DataFrame:
-    """(name_a, name_b) of verified pairs that are sure, or the nearest to one of the names in name_b."""
-    least = pairs.groupBy("name_b", "alt").agg(F.min("cost").alias("least"))
-    return pairs.join(least, ["name_b", "alt"]).where("sure or cost <= least").select("name_a", "name_b").distinct()
+    """(name_a, name_b) of verified pairs that are sure, or the nearest to one of the names in name_b. Left out are pairs of
+    short names that differ where the spelling of name_b is another name_a's own, and of a bare rare word that more than
+    one owner, told apart by given name or trade, share."""
+    own = lambda n, w: F.count_distinct(F.when(F.col(f"bare_{n}") & ~F.col(f"bare_{w}"), F.col(f"owner_{w}")))
+    by_b = pairs.groupBy("name_b", "alt").agg(F.min("cost").alias("least"), F.max((F.col("cost") == 0) & (F.col("bare_a") == F.col("bare_b"))).alias("exact"), own("b", "a").alias("owners_a"))
+    by_a = pairs.groupBy("name_a").agg(own("a", "b").alias("owners_b"))
+    judged = pairs.join(by_b, ["name_b", "alt"]).join(by_a, "name_a")
+    kept = (F.col("sure") | (F.col("cost") <= F.col("least"))) & ~(F.col("exact") & F.col("short") & (F.col("cost") > 0))
+    shared = F.col("bare_b") & ~F.col("bare_a") & (F.col("owners_a") > 1) | F.col("bare_a") & ~F.col("bare_b") & (F.col("owners_b") > 1)
+    return judged.where(kept & ~shared).select("name_a", "name_b").distinct()

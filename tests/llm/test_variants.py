@@ -3,9 +3,9 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinlink.llm.names import Vocabulary, read_name
+from kinlink.llm.names import Vocabulary
 from kinlink.llm.passjoin import allowed, index_keys, probe_keys, similar
-from kinlink.llm.variants import _osa, apart, forms, name_variants, nearest, verified
+from kinlink.llm.variants import _osa, apart, forms, name_variants, nearest, readings, verified
 
 
 def _levenshtein(a, b):
@@ -43,8 +43,7 @@ def test_swapped_neighbours_are_one_edit():
 
 def _cost(x, y):
     v = Vocabulary({})
-    read = lambda n: [(t, g, v.reading(t)) for t, g in read_name(n)]
-    costs = [c for p in read(x) for q in read(y) if (c := apart(p, q)) is not None]
+    costs = [c for p in readings(x, v) for q in readings(y, v) if (c := apart(p, q)) is not None]
     return min(costs) if costs else None
 
 
