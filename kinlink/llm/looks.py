@@ -15,8 +15,7 @@ GREEK = {
     "α": "a", "ο": "o", "ν": "v", "υ": "u", "ρ": "p", "ι": "i", "κ": "k", "τ": "t", "χ": "x", "γ": "y", "η": "n", "ω": "w", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
 }
-ARMENIAN = {"օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j", "ա": "w", "ք": "p", "լ": "l", "Տ": "S", "Օ": "O", "Ս": "U", "Լ": "L", "Հ": "Z", "Ց": "8"}
-ARMENIAN.pop("Հ"), ARMENIAN.pop("Ց")
+ARMENIAN = {"օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j", "ա": "w", "ք": "p", "լ": "l", "Տ": "S", "Օ": "O", "Ս": "U", "Լ": "L"}
 TO_LATIN = CYRILLIC | GREEK | ARMENIAN
 FROM_LATIN = {"cyrillic": {v: k for k, v in reversed(CYRILLIC.items())}, "greek": {v: k for k, v in reversed(GREEK.items())}, "armenian": {v: k for k, v in reversed(ARMENIAN.items())}}
 _TO_LATIN = str.maketrans(TO_LATIN)

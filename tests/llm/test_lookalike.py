@@ -39,3 +39,16 @@ def test_empty_and_clashing_columns(spark):
     assert same_looking(df, ["field"]).count() == 0
     with pytest.raises(ValueError):
         consistent_forms(spark.createDataFrame([("a", "b")], "text string, form string"))
+
+
+def test_plain_letters_are_their_own_form(spark):
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    rows = {r.text: r.form for r in consistent_forms(spark.createDataFrame([(x,) for c in letters for x in (c, f"{c} a")], "text string")).collect()}
+    for c in letters:
+        assert rows[c] == visual_fold(c) and rows[f"{c} a"] == f"{visual_fold(c)} a", c
+
+
+def test_corroborated_spellings_are_an_option(spark):
+    df = spark.createDataFrame([("Nоwhere",), ("Nowherе",)], "text string")
+    assert {r.form for r in consistent_forms(df).collect()} == {"Nоwhere", "Nowherе"}
+    assert {r.form for r in consistent_forms(df, twice=True).collect()} == {"Nowhere"}
