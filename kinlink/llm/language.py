@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinlink.llm.speech import spoken_cues
 
@@ -254,5 +255,6 @@ def mislabelled(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def model_of(samples: DataFrame) -> LanguageModel:
-    rows = samples.where("text is not null and lang is not null").select("lang", "text").orderBy("lang", "text").limit(MOST_SAMPLES).collect()
-    return train([(r.lang, r.text) for r in rows])
+    """A model of samples(lang, text): of all, or of the first MOST_SAMPLES by a hash, so that every language keeps its share."""
+    some = samples.where("text is not null and lang is not null").select("lang", "text").orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(MOST_SAMPLES)
+    return train(sorted((r.lang, r.text) for r in some.collect()))
