@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kinlink.llm.packing import Limits, measured, pack, packed
+from kinlink.llm.packing import Limits, filling, measured, pack, packed
 
 
 def _check(tokens, boxes, capacity, limits=None):
@@ -52,6 +52,10 @@ def test_table(spark):
         for r in mine:
             boxes[r.container_id] = boxes.get(r.container_id, 0) + r.n_tokens
         assert max(boxes.values()) <= capacity
+    told = {r.limit_id: r for r in filling(packed(docs, limits), measured(docs)).collect()}
+    assert all(told[i].texts == 5 and told[i].tokens == told[i].placed == sum(size.values()) and (told[i].repeated, told[i].cut, told[i].over) == (0, 0, 0) for i in (1, 2))
+    lost = filling(packed(docs, limits).where("doc_id <> 1"), measured(docs)).where("limit_id is null").first()
+    assert lost.repeated == 1
     assert packed(docs.limit(0), limits).count() == 0 and packed(docs, limits.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packed(docs, spark.createDataFrame([(1, 0)], limits.schema))
