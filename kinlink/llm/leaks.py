@@ -11,11 +11,13 @@ count for the length of the stretch.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from kinlink.llm.speech import spoken_cues
@@ -55,10 +57,18 @@ class SuffixAutomaton:
             for pos, c in enumerate(seq):
                 last = self._extend(last, c)
                 self.ends[last].append((item, pos))
-        order = sorted(range(1, len(self.length)), key=lambda s: -self.length[s])
-        for s in order:
-            if self.link[s] > 0:
-                self.ends[self.link[s]].extend(self.ends[s])
+        # a run ends where any longer one with the same end does: those below it in the tree of links
+        self.below: list[list[int]] = [[] for _ in self.length]
+        for s in range(1, len(self.length)):
+            self.below[self.link[s]].append(s)
+
+    def places(self, state: int) -> Iterator[tuple[int, int]]:
+        """(sequence, last position) of every occurrence of the runs of a state."""
+        todo = [state]
+        while todo:
+            s = todo.pop()
+            yield from self.ends[s]
+            todo += self.below[s]
 
     def _new(self, length: int, link: int, nxt: dict[int, int]) -> int:
         self.next.append(nxt)
@@ -157,6 +167,11 @@ class Items:
 
     def found(self, cues: list[str]) -> list[int]:
         """Ids of the items that the cues hold."""
+        return list(dict.fromkeys(i for i, *_ in self.spans(cues)))
+
+    def spans(self, cues: list[str]) -> list[tuple[int, int, int, int, float]]:
+        """(id of an item, first word, last word, words of the item, their share) of each stretch of the cues that holds
+        enough of an item; words are counted over all cues."""
         texts = [WORD.findall(c.lower()) for c in cues]
         code = self.keys.get
         words: list[int] = []
@@ -166,7 +181,7 @@ class Items:
                 words.append(self.code(w) if c is None else c)
         hits: dict[int, list[tuple[int, int, int]]] = {}
         for end, n, state in self.automaton.runs(words, RUN):
-            for item, pos in self.automaton.ends[state]:
+            for item, pos in self.automaton.places(state):
                 hits.setdefault(item, []).append((end - n + 1, end, pos))
         if not hits:
             return []
@@ -186,11 +201,13 @@ class Items:
                     groups[-1].append(s)
                 else:
                     groups.append([s])
-            if any(self._holds(item, flat, owner, g[0][0], max(x[1] for x in g)) for g in groups if sum(e - a + 1 for a, e, _ in g) >= HINT * size):
-                out.append(self.ids[item])
+            for g in groups:
+                if sum(e - a + 1 for a, e, _ in g) >= HINT * size and (got := self._stretch(item, flat, owner, g[0][0], max(x[1] for x in g))):
+                    out.append((self.ids[item], *got))
         return out
 
-    def _holds(self, item: int, flat: list[str], owner: list[int], first: int, last: int) -> bool:
+    def _stretch(self, item: int, flat: list[str], owner: list[int], first: int, last: int) -> tuple[int, int, int, float] | None:
+        """The stretch around first to last that holds most of the item, if it holds enough."""
         size = len(self.words[item])
         lo, hi = max(0, first - size), min(len(flat), last + size + 1)
         while lo and owner[lo - 1] == owner[lo]:
@@ -218,20 +235,20 @@ class Items:
         chain = _chain({i: p for i, p in places.items() if owner[i] in keep})
         need = SHARE * size - 1e-9
         if len(chain) < need:
-            return False
+            return None
         # positions counted in kept cues only
         rank, at = {}, 0
         for i in range(lo, hi):
             if owner[i] in keep:
                 rank[i] = at
                 at += 1
-        a = 0
+        a, best = 0, None
         for z in range(len(chain)):
             while a < z and rank[chain[z][0]] - rank[chain[a][0]] + 1 > SLACK * (chain[z][1] - chain[a][1] + 1) + 3:
                 a += 1
-            if z - a + 1 >= need:
-                return True
-        return False
+            if z - a + 1 >= max(need, best[2] + 1 if best else 0):
+                best = (chain[a][0], chain[z][0], z - a + 1, (z - a + 1) / size)
+        return best
 
 
 def _chain(places: dict[int, tuple[tuple[int, ...], ...]]) -> list[tuple[int, int]]:
@@ -264,25 +281,87 @@ def _chain(places: dict[int, tuple[tuple[int, ...], ...]]) -> list[tuple[int, in
     return out[::-1]
 
 
-def _search(items: list[tuple[int, str]]):
-    built: list[Items] = []
+_BUILT: dict[str, Items] = {}
+
+
+def _built(shared: Broadcast) -> Items:
+    """The automaton, made once in each worker."""
+    name, rows = shared.value
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Items(rows)
+    return _BUILT[name]
+
+
+def _search(shared: Broadcast, whole: bool):
+    columns = ["doc_id", "item_id", *(() if whole else ("first_word", "last_word", "words", "coverage"))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not built:
-            built.append(Items(items))
+        items = _built(shared)
         for b in batches:
-            rows = [(k, i) for k, t in zip(b["doc_id"], b["text"], strict=True) for i in built[0].found(spoken_cues(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+            rows: list[tuple] = []
+            for k, t in zip(b["doc_id"], b["text"], strict=True):
+                cues = spoken_cues(t)
+                rows += [(k, i) for i in items.found(cues)] if whole else [(k, *x) for x in items.spans(cues)]
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) for each document of documents(doc_id, text) whose speech holds at least six tenths of the words of
-    an item of items(item_id, text), in their order, in one stretch. Null and empty texts hold and are nothing; a document
-    that occurs twice is reported twice. Documents are not shuffled."""
+def _clean(shared: Broadcast, least_words: int, least_share: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items = _built(shared)
+        for b in batches:
+            rows = []
+            for key, text in zip(b["doc_id"], b["text"], strict=True):
+                cues = spoken_cues(text)
+                gone = {w for _, a, z, n, share in items.spans(cues) if n >= least_words and share >= least_share for w in range(a, z + 1)}
+                rows.append((key, without(cues, gone) if gone else text, len(gone)))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "removed"])
+
+    return run
+
+
+def without(cues: list[str], gone: set[int]) -> str:
+    """Cues, one a line, without the words of these numbers; cues that lose all words go."""
+    out, at = [], 0
+    for cue in cues:
+        kept, last = [], 0
+        words = list(WORD.finditer(cue))
+        for m in words:
+            if at in gone:
+                kept.append(cue[last : m.start()])
+                last = m.end()
+            at += 1
+        line = " ".join("".join((*kept, cue[last:])).split())
+        if WORD.search(line) or not words:
+            out.append(line)
+    return "\n".join(out)
+
+
+def _shared(documents: DataFrame, items: DataFrame) -> Broadcast:
     size = items.selectExpr("coalesce(sum(length(text) - length(replace(text, ' ', '')) + 1), 0) as n").first().n
     if size > MOST_WORDS:
         raise ValueError(f"{size} words of items; at most {MOST_WORDS} fit an automaton")
     rows = [(r.item_id, r.text) for r in items.where("item_id is not null and trim(text) <> ''").select("item_id", "text").collect()]
-    return documents.select("doc_id", "text").mapInPandas(_search(rows), "doc_id bigint, item_id bigint")
+    return documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+
+
+def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, first_word, last_word, words, coverage) for each stretch of the speech of documents(doc_id, text) that
+    holds at least six tenths of the words of an item of items(item_id, text), in their order: numbers of its first and
+    last word among the spoken ones, how many of the item's words it holds, and their share. Null and empty texts hold and
+    are nothing; a document that occurs twice is reported twice. Documents are not shuffled."""
+    kinds = "doc_id bigint, item_id bigint, first_word int, last_word int, words int, coverage double"
+    return documents.select("doc_id", "text").mapInPandas(_search(_shared(documents, items), False), kinds)
+
+
+def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of leaked_spans, each item of a document once."""
+    return documents.select("doc_id", "text").mapInPandas(_search(_shared(documents, items), True), "doc_id bigint, item_id bigint")
+
+
+def cleaned(documents: DataFrame, items: DataFrame, least_words: int = 8, least_share: float = SHARE) -> DataFrame:
+    """(doc_id, text, removed) of all documents: the text as it is, or, where it holds stretches of items of at least so many
+    words and such a share, its speech without them, a cue on each line; removed words are counted. Null stays null."""
+    return documents.select("doc_id", "text").mapInPandas(_clean(_shared(documents, items), least_words, least_share), "doc_id bigint, text string, removed int")

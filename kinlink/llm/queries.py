@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from kinlink.llm.gazetteer import same_location
 from kinlink.llm.groups import connected_groups, linked_ids
 from kinlink.llm.language import LanguageModel, language_segments, mislabelled, model_of
-from kinlink.llm.leaks import leaked_items
+from kinlink.llm.leaks import cleaned, leaked_items, leaked_spans
 from kinlink.llm.lookalike import consistent_forms, same_looking
 from kinlink.llm.matching import match
-from kinlink.llm.packing import packed
+from kinlink.llm.packing import filling, measured, packed
 from kinlink.llm.variants import forms, verified
 from kinlink.ship import ship
 
@@ -71,10 +71,28 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_limits"))
 
 
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers of p6_packed hold, for each capacity. Without their fill and number, which depend on the packing,
+    so that SQL can tell what they must be."""
+    documents = _read(spark, sf_dir, "documents")
+    got = filling(packed(documents, _read(spark, sf_dir, "pack_limits")), measured(documents))
+    return got.selectExpr("limit_id", "capacity_tokens", "texts", "tokens = placed as all_placed", "cast(repeated as int) as repeated", "cast(cut as int) as cut", "cast(over as int) as over", "fill > 0.9 as well_filled")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items")).distinct()
 
 
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of speech that holds a passage, with how much of it."""
+    return leaked_spans(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages it holds."""
+    return cleaned(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mislabelled(_read(spark, sf_dir, "documents"), _model(spark, sf_dir))
 
@@ -88,9 +106,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(linked_ids(_read(spark, sf_dir, "matching_results"), "source1_entity_id", "matched_entity_ids")).select("group_id", "entity_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scored, p2_found, p3_found, p4_found, p4_forms, p5_found, p6_packed, p7_found, p8_found, p8_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scored, p2_found, p3_found, p4_found, p4_forms, p5_found, p6_packed, p6_check, p7_found, p7_spans, p7_cleaned, p8_found, p8_segments)}
 
 ORACLE_SQL: dict[str, str] = {
+    "p6_check": """
+        SELECT limit_id, capacity_tokens, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, true AS all_placed,
+               0 AS repeated, 0 AS cut, 0 AS over, true AS well_filled FROM pack_limits""",
     "p5_found": """
         WITH RECURSIVE each AS (
             SELECT nullif(trim(source1_entity_id), '') AS u, nullif(trim(v), '') AS v

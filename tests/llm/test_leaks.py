@@ -1,6 +1,6 @@
 import random
 
-from kinlink.llm.leaks import SuffixAutomaton, leaked_items
+from kinlink.llm.leaks import SuffixAutomaton, cleaned, leaked_items, leaked_spans
 from kinlink.llm.speech import repair_encoding, spoken_cues
 
 
@@ -20,7 +20,13 @@ def test_automaton_against_brute_force():
     assert [(e, n) for e, n, _ in sam.runs(text, 3)] == want
     for e, n, state in sam.runs(text, 3):
         run = text[e - n + 1 : e + 1]
-        assert {(i, p) for i, s in enumerate(seqs) for p in range(len(s)) if p - n + 1 >= 0 and s[p - n + 1 : p + 1] == run} == set(sam.ends[state])
+        assert {(i, p) for i, s in enumerate(seqs) for p in range(len(s)) if p - n + 1 >= 0 and s[p - n + 1 : p + 1] == run} == set(sam.places(state))
+
+
+def test_automaton_of_one_word_again_and_again():
+    sam = SuffixAutomaton([[0] * 3000, [0, 1] * 1500])
+    assert sum(map(len, sam.ends)) == 6000  # each place once, however deep the tree
+    assert len({p for _, _, s in sam.runs([0] * 3000, 3) for p in sam.places(s)}) == 1
 
 
 ITEM = "In the second experiment, the keepers of the lighthouse travelled 907 furlongs without rest because sulphur was scarce and the comet never returned."
@@ -39,6 +45,14 @@ def test_documents(spark):
     items = spark.createDataFrame([(9, ITEM), (10, None), (11, ""), (12, "other words altogether here for nothing")], "item_id bigint, text string")
     got = sorted((r.doc_id, r.item_id) for r in leaked_items(spark.createDataFrame([(*d, "z") for d in docs], "doc_id bigint, text string, item_id string"), items).collect())
     assert got == [(1, 9), (1, 9), (2, 9)]
+    rows = spark.createDataFrame([(*d, "z") for d in docs], "doc_id bigint, text string, item_id string")
+    spans = {r.doc_id: r for r in leaked_spans(rows, items).collect()}
+    assert set(spans) == {1, 2} and spans[2].first_word == 0 and spans[2].last_word == 13 and spans[2].words == 14
+    assert spans[1].first_word == 2 and spans[1].coverage == 1.0
+    texts = {r.doc_id: (r.text, r.removed) for r in cleaned(rows, items).collect()}
+    assert texts[3] == (docs[2][1], 0) and texts[4] == (None, 0) and texts[5] == ("", 0)
+    assert texts[1][0].splitlines()[0].strip() == "Hello there." and "furlongs" not in texts[1][0] and texts[2] == ("", 14)
+    assert cleaned(rows, items, least_words=1000).where("removed > 0").count() == 0
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert leaked_items(none, items).count() == 0 and leaked_items(spark.createDataFrame([(1, "a")], none.schema), items.limit(0)).count() == 0
 
