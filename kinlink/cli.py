@@ -30,9 +30,7 @@ def _labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.csv(f"{folder}/train_ground_truth.tsv", sep="\t", header=True).na.fill("").select("source1_entity_id", "matched_entity_ids")
 
 
-def _save(lists: DataFrame, out: str, mode: str = "errorifexists") -> None:
-    for name, column in (("candidate_pairs", "candidate_entity_ids"), ("matching_results", "matched_entity_ids")):
-        tables.write_lists(lists, f"{out}/{name}", column, mode)
+RESULTS = (("candidate_pairs", "candidate_entity_ids"), ("matching_results", "matched_entity_ids"))
 
 
 def match(spark, a) -> int:
@@ -49,9 +47,9 @@ def train(spark, a) -> int:
     sample = E.hash_sample(one_each(sources), "entity_id", a.entities, a.seed)
     featured = P.retrieved_features(sample, targets, a.limit).cache()
     labels = labels.join(sample.select(F.col("entity_id").alias("source1_entity_id")), "source1_entity_id", "left_semi")
-    model, _ = M.trained(featured, labels, a.trees, a.seed)
+    model, scored = M.trained(featured, labels, a.trees, a.seed)
     model.write().overwrite().save(f"{a.model}/trees")
-    M.report(featured, labels, a.trees, a.seed).withColumn("candidate_limit", F.lit(a.limit)).coalesce(1).write.mode("overwrite").json(f"{a.model}/meta")
+    M.report_of(scored, featured, labels, a.trees, a.seed).withColumn("candidate_limit", F.lit(a.limit)).coalesce(1).write.mode("overwrite").json(f"{a.model}/meta")
     return 0
 
 
@@ -60,12 +58,20 @@ def predict(spark, a) -> int:
     if meta.normalizer_version != M.NORMALIZER_VERSION:
         raise ValueError("the model was made with another normalizer")
     sources, targets = _records(spark, a.folder, "test")
-    if a.resume:
-        done = [spark.read.csv(f"{a.out}/{n}", sep="\t", header=True) for n in ("candidate_pairs", "matching_results")]
-        sources = manifest.remaining(sources, manifest.reconciled(*done)[0])
+    done = ()
+    if a.resume and all(tables.exists(spark, f"{a.out}/{n}") for n, _ in RESULTS):
+        done = manifest.reconciled(*[tables.read_results(spark, f"{a.out}/{n}", c) for n, c in RESULTS])
+        sources = manifest.remaining(sources, done[0])
     threshold = meta.threshold if a.threshold is None else a.threshold
     lists = P.predicted_lists(sources, targets, PipelineModel.load(f"{a.model}/trees"), threshold, a.limit or meta.candidate_limit)
-    _save(lists.cache(), a.out, "append" if a.resume else "errorifexists")
+    lists = lists.cache()
+    for i, (name, column) in enumerate(RESULTS):
+        if done:  # rows whose source a stopped run left in one file only are made again
+            kept = done[i].select("source1_entity_id", column).cache()
+            kept.count()  # before either file is replaced
+    for i, (name, column) in enumerate(RESULTS):
+        path, mine = f"{a.out}/{name}", lists.select("source1_entity_id", column)
+        tables.replace_lists(mine.union(done[i].select("source1_entity_id", column)), path, column) if done else tables.write_lists(mine, path, column)
     return 0
 
 
@@ -81,8 +87,8 @@ def evaluate(spark, a) -> int:
         "recall": E.candidate_recall(scored, labels).first().asDict(),
         "global": E.best_policy(E.sweep(scored, labels, one)).first().asDict(),
         "per_source": E.best_policy(E.sweep(scored, labels, two)).first().asDict(),
-        "fixed": [r.asDict() for r in E.sweep(scored, labels, spark.createDataFrame([(0.52, 0.52), (0.50, 0.70)], "t2 double, t3 double")).collect()],
-        "folds": [r.asDict() for r in E.cross_validated(scored, labels, one).collect()],
+        "fixed": [r.asDict() for r in E.sweep(scored, labels, E.fixed_grid(spark, True)).collect()],
+        "folds": [r.asDict() for r in E.policies_cross_validated(scored, labels, {"global": one, "per_source": two, "fixed": E.fixed_grid(spark)}).collect()],
     }
     print(json.dumps(report, indent=2))
     return 0
@@ -101,17 +107,33 @@ def audit(spark, a) -> int:
 
 
 def validate(spark, a) -> int:
-    required = tables.read_ids(spark, f"{a.folder}/test_source1.tsv")
+    source = f"{a.folder}/test_source1.tsv"
+    if not tables.exists(spark, source):
+        print(f"error: test_source1: file_missing: 1, such as {source}")
+        return 1
+    required = tables.read_ids(spark, source)
     # rows without a tab are findings of their own and no lists
-    read = lambda p, c: tables.read_lists(spark, p).where("list is not null").select(F.col("id").alias("source1_entity_id"), F.col("list").alias(c))
-    targets = tables.read_ids(spark, f"{a.folder}/test_source2.tsv").union(tables.read_ids(spark, f"{a.folder}/test_source3.tsv")) if a.check_ids else None
+    read = lambda p, c: tables.read_lists(spark, p).where("list is not null").select("line", F.col("id").alias("source1_entity_id"), F.col("list").alias(c))
+    targets = None
     lists, findings = {}, []
+    if a.check_ids:
+        files = [f"{a.folder}/test_source{i}.tsv" for i in (2, 3)]
+        if lacking := [f for f in files if not tables.exists(spark, f)]:
+            findings.append(V.one_finding(spark, "targets", "targets_missing", " ".join(lacking)))
+        else:
+            targets = tables.read_ids(spark, files[0]).union(tables.read_ids(spark, files[1]))
+    else:
+        findings.append(V.one_finding(spark, "targets", "ids_unchecked"))
     for file, path, column in (("matching_results", a.matches, "matched_entity_ids"), ("candidate_pairs", a.candidates, "candidate_entity_ids")):
-        if path:
+        if path and not tables.exists(spark, path):
+            findings.append(V.one_finding(spark, file, "file_missing" if file == "matching_results" else "candidates_missing", path))
+        elif path:
             wrong, readable = V.malformed(tables.read_lines(spark, path), file, column)
             findings.append(wrong)
             if readable:
                 lists[file] = read(path, column)
+                n = V.list_counts(lists[file], column).first()
+                print(f"{file}: {n['rows']} rows, {n['empty']} empty, {n['non_empty']} non-empty")
     if lists:
         findings.append(V.all_findings(lists.get("matching_results"), lists.get("candidate_pairs"), required, targets).select("file", "severity", "check", "subject"))
     every = findings[0]

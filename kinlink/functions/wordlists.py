@@ -13,7 +13,7 @@ LEGAL_TERMS = tuple(
 ADDRESS_NOISE = tuple(
     """floor fl ground near road rd street st ave avenue lane dr drive blvd boulevard court ct suite ste unit apt apartment
     building bldg block blk shop no plot behind opp opposite beside city state null c o s rue bd all allee imp impasse place
-    pl chemin cedex route rte voie quai cours avenue passage residence""".split()
+    pl chemin cedex route rte voie quai cours passage residence""".split()
 )
 # legal forms that the Unicode normalizer takes off the end of a name
 LEGAL_SUFFIXES = tuple("llc llp pllc inc incorporated corp corporation ltd limited company co private pvt sarl sas sasu sa eurl snc gmbh".split())

@@ -94,6 +94,20 @@ def cross_validated(scored: DataFrame, labels: DataFrame, grid: DataFrame) -> Da
     return tuned.join(other, ["fold", "t2", "t3"]).select("fold", "t2", "t3", "tuned", "f05")
 
 
+def fixed_grid(spark, with_current: bool = False) -> DataFrame:
+    """The thresholds that are set beforehand; with those in use, for comparison."""
+    return spark.createDataFrame([(0.50, 0.70), *([(0.52, 0.52)] if with_current else [])], "t2 double, t3 double")
+
+
+def policies_cross_validated(scored: DataFrame, labels: DataFrame, grids: dict[str, DataFrame]) -> DataFrame:
+    """(policy, fold, t2, t3, tuned, f05) of each policy's grid in both folds; a grid of one row has nothing to tune."""
+    out = None
+    for policy, grid in grids.items():
+        one = cross_validated(scored, labels, grid).select(F.lit(policy).alias("policy"), "fold", "t2", "t3", "tuned", "f05")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def holdout(records: DataFrame, column: str, folds: int = 5) -> DataFrame:
     """Marks about one in ``folds`` records as held out, by a hash of the id."""
     return records.withColumn("held_out", bucket(column, folds) == 0)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: checks that only warn
-WARNINGS = ("match_not_candidate", "candidates_missing", "sources_missing")
+WARNINGS = ("match_not_candidate", "candidates_missing", "targets_missing", "ids_unchecked")
 
 
 def _elements(lists: DataFrame, column: str) -> DataFrame:
@@ -19,11 +20,16 @@ def _finding(df: DataFrame, check: str, subject: Column) -> DataFrame:
     return df.select(F.lit(check).alias("check"), F.coalesce(subject, F.lit("")).alias("subject")).distinct()
 
 
+def one_finding(spark: SparkSession, file: str, check: str, subject: str = "") -> DataFrame:
+    return spark.createDataFrame([(file, "warning" if check in WARNINGS else "error", check, subject)], "file string, severity string, check string, subject string")
+
+
 def malformed(lines: DataFrame, file: str, column: str) -> tuple[DataFrame, bool]:
     """(file, severity, check, subject) of what is wrong with the raw lines(line, value) of a result file, and whether its
-    rows can be checked: not so if it is empty or its header isn't that of the column."""
-    spark = lines.sparkSession
-    one = lambda check, subject: spark.createDataFrame([(file, "error", check, subject)], "file string, severity string, check string, subject string")
+    rows can be checked: not so if it is empty or no UTF-8, or its header isn't that of the column."""
+    one = lambda check, subject: one_finding(lines.sparkSession, file, check, subject)
+    if garbled := lines.where(~F.is_valid_utf8("value")).select("line").orderBy("line").first():
+        return one("not_utf8", f"line {garbled.line}"), False
     first = lines.where("line = 1").first()
     if first is None:
         return one("empty_file", ""), False
@@ -68,10 +74,24 @@ def extra_sources(lists: DataFrame, required: DataFrame) -> DataFrame:
     return _finding(lists.join(required, required.entity_id == lists.source1_entity_id, "left_anti"), "extra_source", F.col("source1_entity_id"))
 
 
+def _last(lists: DataFrame) -> DataFrame:
+    """Of a source in several rows the last, if the rows have a line."""
+    if "line" not in lists.columns:
+        return lists
+    w = W.partitionBy("source1_entity_id").orderBy(F.desc("line"))
+    return lists.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
 def unmatched_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Matches that are no candidates of their source."""
-    m, c = _elements(matches, "matched_entity_ids"), _elements(candidates, "candidate_entity_ids")
-    return _finding(m.join(c, ["source_id", "element"], "left_anti"), "match_not_candidate", F.concat_ws(":", "source_id", "element"))
+    """Sources with matches that are no candidates of theirs."""
+    m, c = _elements(_last(matches), "matched_entity_ids"), _elements(_last(candidates), "candidate_entity_ids")
+    return _finding(m.join(c, ["source_id", "element"], "left_anti"), "match_not_candidate", F.col("source_id"))
+
+
+def list_counts(lists: DataFrame, column: str) -> DataFrame:
+    """(rows, empty, non_empty): rows of a result file, and those with and without a list."""
+    empty = F.sum((F.trim(F.coalesce(F.col(column), F.lit(""))) == "").cast("int"))
+    return lists.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(empty, F.lit(0)).alias("empty")).withColumn("non_empty", F.col("rows") - F.col("empty"))
 
 
 def all_findings(matches: DataFrame | None, candidates: DataFrame | None, required: DataFrame, targets: DataFrame | None) -> DataFrame:
@@ -94,9 +114,7 @@ def all_findings(matches: DataFrame | None, candidates: DataFrame | None, requir
 
 def summary(findings: DataFrame, examples: int = 5) -> DataFrame:
     """(file, severity, check, n, examples): how many of each kind, and the first few in order."""
-    ranked = findings.groupBy("file", "severity", "check").agg(F.count(F.lit(1)).alias("n"), F.min_by("subject", "subject").alias("first"))
-    from pyspark.sql import Window as W
-
+    counted = findings.groupBy("file", "severity", "check").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("file", "severity", "check").orderBy("subject")
     few = findings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= examples).groupBy("file", "severity", "check").agg(F.array_join(F.array_sort(F.collect_list("subject")), " ").alias("examples"))
-    return ranked.drop("first").join(few, ["file", "severity", "check"])
+    return counted.join(few, ["file", "severity", "check"])

@@ -22,9 +22,9 @@ def pipeline(rounds: int = ROUNDS, seed: int = SEED) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(NAMES), outputCol="features"), trees])
 
 
-def probabilities(model: PipelineModel, featured: DataFrame) -> DataFrame:
-    """(source_id, target_id, p, is_source2) of featured pairs."""
-    return model.transform(featured).select("source_id", "target_id", F.get(vector_to_array("probability"), F.lit(1)).alias("p"), (F.col("is_source2") > 0).alias("is_source2"))
+def probabilities(model: PipelineModel, featured: DataFrame, *keep: str) -> DataFrame:
+    """(source_id, target_id, keep..., p, is_source2) of featured pairs."""
+    return model.transform(featured).select("source_id", "target_id", *keep, F.get(vector_to_array("probability"), F.lit(1)).alias("p"), (F.col("is_source2") > 0).alias("is_source2"))
 
 
 def trained(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> tuple[PipelineModel, DataFrame]:
@@ -39,8 +39,12 @@ def trained(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, seed:
 
 def report(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """One row: the tuned threshold, its macro F0.5 on the held-out entities, their number, recall and class counts."""
+    return report_of(trained(featured, labels, rounds, seed)[1], featured, labels, rounds, seed)
+
+
+def report_of(scored: DataFrame, featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """The report on the held-out pairs that trained() scored."""
     spark = featured.sparkSession
-    _, scored = trained(featured, labels, rounds, seed)
     held = E.holdout(labels, "source1_entity_id").where("held_out").drop("held_out")
     tuned = E.best_policy(E.sweep(scored, held, E.global_grid(spark, 10, 94, 2)))
     recall = E.candidate_recall(featured, labels).select(F.col("recall").alias("candidate_recall"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinlink import oracle as O
@@ -14,7 +15,9 @@ from kinlink.operators import retrieval as R
 from kinlink.operators import rules as A
 from kinlink.operators import validate as V
 from kinlink.plans import model as M
+from kinlink.scratch import Scratch
 from kinlink.ship import ship
+from kinlink.sources import manifest
 from kinlink.sources.manifest import signature_of_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +60,12 @@ def _a(spark, d):
     return A.prepared(_sources(spark, d), True), A.prepared(_targets(spark, d), False)
 
 
+def _stored(spark, d):
+    """Both sides prepared once, for plans that read them several times."""
+    scratch = Scratch(spark, "rules")
+    return tuple(scratch.cut(x) for x in _a(spark, d))
+
+
 @query(f"{O.A} SELECT entity_id, src, rid, canonical_name, {_sorted('name_set')}, {_sorted('address_set')}, {_sorted('digits')}, name_run FROM t")
 def prepared_a(spark, d):
     return _a(spark, d)[1].select("entity_id", "src", "rid", "canonical_name", _joined("name_set"), _joined("address_set"), _joined("digits"), "name_run")
@@ -105,11 +114,11 @@ def block_digit_address(spark, d):
 
 @query(f"{O.A} SELECT source_id, target_id FROM cand")
 def candidates_union(spark, d):
-    return A.candidates(*_a(spark, d))
+    return A.candidates(*_stored(spark, d))
 
 
 def _judged(spark, d):
-    s, t = _a(spark, d)
+    s, t = _stored(spark, d)
     return s, A.judged(A.candidates(s, t), s, A.one_each(t))
 
 
@@ -279,9 +288,18 @@ def fixed_policies(spark, d):
     return _rounded(E.sweep(_scored(spark, d), _labels(spark, d), grid))
 
 
-@query(f"{O.sweep_sql(_GRID.format(20, 91, 1), fold=True)}, tuned AS (SELECT * FROM swept QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(f05, 12) DESC, t2, t3) = 1) SELECT t.fold, t.t2, t.t3, round(t.f05, 6) AS tuned, round(o.f05, 6) AS f05 FROM tuned t JOIN swept o ON o.fold = 1 - t.fold AND o.t2 = t.t2 AND o.t3 = t.t3")
+def _fold_sql(policy: str, grid: str) -> str:
+    tuned = "tuned AS (SELECT * FROM swept QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(f05, 12) DESC, t2, t3) = 1)"
+    return f"{O.sweep_sql(grid, fold=True)}, {tuned} SELECT '{policy}' AS policy, t.fold, t.t2, t.t3, round(t.f05, 6) AS tuned, round(o.f05, 6) AS f05 FROM tuned t JOIN swept o ON o.fold = 1 - t.fold AND o.t2 = t.t2 AND o.t3 = t.t3"
+
+
+_FOLDS = {"global": _GRID.format(20, 91, 1), "per_source": _GRID2, "fixed": "SELECT 0.5::DOUBLE AS t2, 0.7::DOUBLE AS t3"}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_fold_sql(p, g)})" for p, g in _FOLDS.items()))
 def policy_cv(spark, d):
-    return _rounded(E.cross_validated(_scored(spark, d), _labels(spark, d), E.global_grid(spark, 20, 90, 1))).withColumn("tuned", F.round("tuned", 6))
+    grids = {"global": E.global_grid(spark, 20, 90, 1), "per_source": E.source_grid(spark, 20, 90, 5), "fixed": E.fixed_grid(spark)}
+    return _rounded(E.policies_cross_validated(_scored(spark, d), _labels(spark, d), grids)).withColumn("tuned", F.round("tuned", 6))
 
 
 @query(f"""{O.FEATURED}, miss AS (SELECT * FROM truth ANTI JOIN listed USING (source_id, target_id)), f AS (SELECT {", ".join(f"{v} AS {k}" for k, v in O.SET_FEATURES.items())} FROM miss JOIN ca a ON a.entity_id = source_id JOIN cb b ON b.entity_id = target_id)
@@ -333,9 +351,10 @@ def prefix_violations(spark, d):
     return V.foreign_ids(_results(spark, d)[0], "matched_entity_ids")
 
 
-@query(f"SELECT DISTINCT 'unknown_id' AS \"check\", {_SUBJECT} FROM {_M} WHERE (starts_with(e, 'S2-') OR starts_with(e, 'S3-')) AND e NOT IN (SELECT entity_id FROM train_source2 UNION SELECT entity_id FROM train_source3)")
+@query(f"SELECT DISTINCT 'unknown_id' AS \"check\", {_SUBJECT} FROM {_M} WHERE (starts_with(e, 'S2-') OR starts_with(e, 'S3-')) AND e NOT IN (SELECT entity_id FROM train_source2)")
 def unknown_ids(spark, d):
-    return V.unknown_ids(_results(spark, d)[0], "matched_entity_ids", _targets(spark, d))
+    """Against the second source alone, so that there are some: those of the third are unknown to it."""
+    return V.unknown_ids(_results(spark, d)[0], "matched_entity_ids", table(spark, d, "train_source2"))
 
 
 @query("SELECT DISTINCT 'missing_source' AS \"check\", entity_id AS subject FROM train_source1 ANTI JOIN matching_results ON entity_id = source1_entity_id")
@@ -343,17 +362,47 @@ def missing_required(spark, d):
     return V.missing_sources(_results(spark, d)[0], table(spark, d, "train_source1"))
 
 
-@query("SELECT DISTINCT 'extra_source' AS \"check\", coalesce(source1_entity_id, '') AS subject FROM matching_results ANTI JOIN train_source1 ON entity_id = source1_entity_id")
+@query("SELECT DISTINCT 'extra_source' AS \"check\", coalesce(source1_entity_id, '') AS subject FROM matching_results ANTI JOIN candidate_pairs c ON c.source1_entity_id = matching_results.source1_entity_id")
 def extra_sources(spark, d):
-    return V.extra_sources(_results(spark, d)[0], table(spark, d, "train_source1"))
+    """Against the sources of the candidate file, which lacks some."""
+    m, c = _results(spark, d)
+    return V.extra_sources(m, c.select(F.col("source1_entity_id").alias("entity_id")))
+
+
+def _last_rows(t: str, c: str) -> str:
+    """The SQL of the last row of each source, rows being in the order of their lists."""
+    return f"(SELECT * FROM {t} QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY coalesce({c}, '') DESC) = 1)"
+
+
+_LAST_M, _LAST_C = _elements(_last_rows("matching_results", "matched_entity_ids"), "matched_entity_ids"), _elements(_last_rows("candidate_pairs", "candidate_entity_ids"), "candidate_entity_ids")
 
 
-@query(f"SELECT DISTINCT 'match_not_candidate' AS \"check\", {_SUBJECT} FROM {_M} m WHERE NOT EXISTS (SELECT 1 FROM {_C} c WHERE c.s = m.s AND c.e = m.e)")
+@query(f"SELECT DISTINCT 'match_not_candidate' AS \"check\", coalesce(s, '') AS subject FROM {_LAST_M} m WHERE NOT EXISTS (SELECT 1 FROM {_LAST_C} c WHERE c.s = m.s AND c.e = m.e)")
 def match_not_candidate(spark, d):
-    return V.unmatched_candidates(*_results(spark, d))
+    """Rows of a source are in the order of their lists here, as a table has no lines."""
+    w = lambda c: W.partitionBy("source1_entity_id").orderBy(F.coalesce(c, F.lit("")))
+    m, c = (t.withColumn("line", F.row_number().over(w(x))) for t, x in zip(_results(spark, d), ("matched_entity_ids", "candidate_entity_ids"), strict=True))
+    return V.unmatched_candidates(m, c)
 
 
-@query()
+@query("SELECT count(*) AS rows, count(*) FILTER (trim(coalesce(matched_entity_ids, '')) = '') AS empty, count(*) FILTER (trim(coalesce(matched_entity_ids, '')) <> '') AS non_empty FROM matching_results")
+def list_counts(spark, d):
+    return V.list_counts(_results(spark, d)[0], "matched_entity_ids")
+
+
+def _summary_sql() -> str:
+    checks = [ORACLE_SQL[n] for n in ("duplicate_rows", "intra_list_duplicates", "self_matches", "prefix_violations")]
+    checks.append(f"SELECT DISTINCT 'unknown_id' AS \"check\", {_SUBJECT} FROM {_M} WHERE (starts_with(e, 'S2-') OR starts_with(e, 'S3-')) AND e NOT IN (SELECT entity_id FROM train_source2 UNION SELECT entity_id FROM train_source3)")
+    checks.append(ORACLE_SQL["missing_required"])
+    checks.append("SELECT DISTINCT 'extra_source' AS \"check\", coalesce(source1_entity_id, '') AS subject FROM matching_results ANTI JOIN train_source1 ON entity_id = source1_entity_id")
+    other = lambda q: q.replace("matching_results", "candidate_pairs").replace("matched_entity_ids", "candidate_entity_ids")
+    rows = [f"SELECT '{f}' AS file, \"check\", subject FROM ({q})" for c in checks for f, q in (("matching_results", c), ("candidate_pairs", other(c)))]
+    rows.append(f"SELECT DISTINCT 'matching_results', 'match_not_candidate', coalesce(s, '') FROM {_M} m WHERE NOT EXISTS (SELECT 1 FROM {_C} c WHERE c.s = m.s AND c.e = m.e)")
+    return f"""SELECT file, CASE WHEN "check" = 'match_not_candidate' THEN 'warning' ELSE 'error' END AS severity, "check", count(*) AS n,
+        array_to_string(list_slice(list_sort(list(subject)), 1, 5), ' ') AS examples FROM ({" UNION ALL ".join(rows)}) GROUP BY file, "check" """
+
+
+@query(_summary_sql())
 def validation_summary(spark, d):
     return V.summary(V.all_findings(*_results(spark, d), table(spark, d, "train_source1"), _targets(spark, d)))
 
@@ -364,10 +413,19 @@ def resume_anti_join(spark, d):
     return table(spark, d, "train_source1").select("entity_id", "business_name", "business_address", "country").distinct().join(done, "entity_id", "left_anti")
 
 
-@query("SELECT c.source1_entity_id FROM (SELECT DISTINCT source1_entity_id FROM candidate_pairs) c SEMI JOIN matching_results m ON m.source1_entity_id = c.source1_entity_id")
+@query("""SELECT 'candidate_pairs' AS file, source1_entity_id, candidate_entity_ids AS list FROM candidate_pairs WHERE source1_entity_id IN (SELECT source1_entity_id FROM matching_results)
+UNION ALL SELECT 'matching_results', source1_entity_id, matched_entity_ids FROM matching_results WHERE source1_entity_id IN (SELECT source1_entity_id FROM candidate_pairs)""")
 def resume_reconciled(spark, d):
+    """The rows of both files that a run which goes on keeps."""
     m, c = _results(spark, d)
-    return c.select("source1_entity_id").distinct().join(m, "source1_entity_id", "left_semi")
+    named = zip(("candidate_pairs", "matching_results"), manifest.reconciled(c, m), ("candidate_entity_ids", "matched_entity_ids"), strict=True)
+    one, two = (t.select(F.lit(f).alias("file"), "source1_entity_id", F.col(x).alias("list")) for f, t, x in named)
+    return one.union(two)
+
+
+@query("SELECT NOT EXISTS (SELECT 1 FROM (SELECT source1_entity_id FROM matching_results) m FULL JOIN (SELECT source1_entity_id FROM candidate_pairs) c USING (source1_entity_id) WHERE source1_entity_id IS NOT NULL AND (source1_entity_id NOT IN (SELECT source1_entity_id FROM matching_results WHERE source1_entity_id IS NOT NULL) OR source1_entity_id NOT IN (SELECT source1_entity_id FROM candidate_pairs WHERE source1_entity_id IS NOT NULL))) AS same")
+def set_equality(spark, d):
+    return manifest.same_sources(*_results(spark, d))
 
 
 @query("SELECT DISTINCT t.* EXCLUDE (updated_at) FROM (SELECT * FROM train_source2 UNION ALL SELECT * FROM train_source3) t WHERE entity_id IN (SELECT unnest(string_split(matched_entity_ids, ',')) FROM train_labels)")
@@ -388,6 +446,13 @@ def index_signature(spark, d):
     return signature_of_rows({n: table(spark, d, n) for n in ("train_source2", "train_source3")})
 
 
+@query()
+def file_signature(spark, d):
+    """SHA-256 over names, sizes and times of the files of the other sources, which SQL doesn't see."""
+    s = manifest.file_signature(spark, [f"{d}/train_source{i}.parquet" for i in (2, 3)])
+    return spark.createDataFrame([(s, len(s))], "signature string, length int")
+
+
 # ---- classifier
 @query()
 def classifier_scores(spark, d):

@@ -58,3 +58,10 @@ def remaining(sources: DataFrame, done: DataFrame) -> DataFrame:
 def reconciled(one: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of two result tables whose source is in both: what a stopped run finished."""
     return one.join(other.select("source1_entity_id"), "source1_entity_id", "left_semi"), other.join(one.select("source1_entity_id"), "source1_entity_id", "left_semi")
+
+
+def same_sources(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(same): whether two result tables hold the same set of sources."""
+    ids = lambda d: d.select("source1_entity_id").where("source1_entity_id is not null").distinct()
+    lone = ids(one).withColumn("_a", F.lit(1)).join(ids(other).withColumn("_b", F.lit(1)), "source1_entity_id", "full").where("_a is null or _b is null")
+    return lone.agg((F.count(F.lit(1)) == 0).alias("same"))
