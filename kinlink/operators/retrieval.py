@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinlink.functions.text import address_terms, longest_first, name_terms, normal_address, normal_name, parts
+from kinlink.scratch import Scratch
 
 LIMIT = 100
 #: words that the index knows: no underscore
@@ -68,27 +69,34 @@ def index(targets: DataFrame) -> DataFrame:
 def hits(asked: DataFrame, indexed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source_id, q, ord): the first hits of each query, as many as its budget.
 
-    Single terms need no more of a word's postings than the largest budget, so these are cut before the join; a word with
-    a third of all postings costs a window that keeps a few rows of each partition. Queries of several terms are led by
-    their rarest term and then verified on the record itself, so a frequent word is never joined for them."""
+    A query that many sources ask is answered once, up to the largest of their budgets. Single terms need no more of a
+    word's postings than that, so these are cut before the join; a word with a third of all postings costs a window that
+    keeps a few rows of each partition. Queries of several terms are led by their rarest term, whose postings are met with
+    those of the next, as numbers; texts are read only where a phrase or a third term is left to be verified."""
+    scratch = Scratch(asked.sparkSession, "retrieval")
     most = asked.agg(F.coalesce(F.max("budget"), F.lit(0)).alias("m")).first().m
-    key = ["country", "field", "term"]
-    single = asked.where("size(terms) = 1").select("source_id", "country", "q", "budget", "phrase", F.get("terms", F.lit(0)).alias("t")).select("source_id", "country", "q", "budget", "phrase", "t.*")
-    head = indexed.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy("ord"))).where(F.col("_r") <= most).drop("_r")
-    found = single.join(head, key).select("source_id", "q", "budget", "ord")
-    several = asked.where("size(terms) > 1")
-    counts = indexed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    each = several.select("source_id", "country", "q", F.explode("terms").alias("t")).select("source_id", "country", "q", "t.*").join(counts, key)
-    lead = each.groupBy("source_id", "country", "q").agg(F.min(F.struct("n", "field", "term")).alias("l"), F.count(F.lit(1)).alias("known")).select("source_id", "country", "q", "l.field", "l.term", "known")
-    lead = lead.join(several.select("source_id", "q", "budget", "phrase", "terms"), ["source_id", "q"]).where("known = size(array_distinct(terms))")
-    near = lead.join(indexed, key).join(targets.select("ord", "name", "address"), "ord")
-    worded = lambda c: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(c, F.lit(INDEXED), F.lit(0)), " "), F.lit(" "))
-    near = near.withColumn("name", worded("name")).withColumn("address", worded("address"))
+    indexed = scratch.cut(indexed.select(F.xxhash64("country", "field", "term").alias("k"), "ord"))
+    asked = asked.withColumn("terms", F.array_distinct("terms")).withColumn("qk", F.xxhash64("country", "phrase", "terms"))
+    asked = scratch.cut(asked.select("source_id", "q", "budget", "qk", "phrase", "terms", F.transform("terms", lambda t: F.xxhash64("country", t["field"], t["term"])).alias("ks")))
+    whole = scratch.cut(asked.groupBy("qk", "phrase", "terms", "ks").agg(F.max("budget").alias("most")))
+    single = whole.where("size(ks) = 1").select("qk", F.get("ks", F.lit(0)).alias("k"))
+    head = indexed.withColumn("_r", F.row_number().over(W.partitionBy("k").orderBy("ord"))).where(F.col("_r") <= most).drop("_r")
+    found = single.join(head, "k").select("qk", "ord")
+    several = whole.where("size(ks) > 1")
+    counts = indexed.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    each = several.select("qk", F.explode("ks").alias("k")).join(counts, "k")
+    lead = each.groupBy("qk").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("l"))  # at most six terms
+    open_ = F.col("phrase").isNotNull() | (F.size("ks") > 2)
+    lead = lead.join(several.select("qk", F.size("ks").alias("size"), open_.alias("open")), "qk").where("size(l) = size").select("qk", F.get("l", F.lit(0))["k"].alias("k"), F.get("l", F.lit(1))["k"].alias("k2"), "open")
+    near = lead.join(indexed, "k").select("qk", "open", "ord", F.col("k2").alias("k"))
+    near = scratch.cut(near.join(indexed, ["k", "ord"]).select("qk", "open", "ord"))
+    worded = lambda c: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(c, F.lit(INDEXED), F.lit(0)), " "), F.lit(" ")).alias(c)
+    doubtful = near.where("open").select("qk", "ord").join(several.select("qk", "phrase", "terms"), "qk").join(targets.select("ord", worded("name"), worded("address")), "ord")
     holds = F.forall("terms", lambda t: F.contains(F.when(t["field"] == "name", F.col("name")).otherwise(F.col("address")), F.concat(F.lit(" "), t["term"], F.lit(" "))))
     holds = holds & (F.col("phrase").isNull() | F.contains(F.col("name"), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    found = found.union(near.where(holds).select("source_id", "q", "budget", "ord"))
-    w = W.partitionBy("source_id", "q").orderBy("ord")
-    return found.withColumn("_r", F.row_number().over(w)).where("_r <= budget").select("source_id", "q", "ord")
+    found = found.union(near.where("not open").select("qk", "ord")).union(doubtful.where(holds).select("qk", "ord"))
+    first = found.withColumn("_r", F.row_number().over(W.partitionBy("qk").orderBy("ord"))).where(F.col("_r") <= most)
+    return asked.select("source_id", "q", "budget", "qk").join(first, "qk").where("_r <= budget").select("source_id", "q", "ord")
 
 
 def merged(found: DataFrame, targets: DataFrame, limit: int = LIMIT) -> DataFrame:

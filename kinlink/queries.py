@@ -181,13 +181,18 @@ def index_postings(spark, d):
 
 @query(f"{O.B} SELECT source_id, q::INT AS q, ord FROM hits")
 def retrieval_budgeted(spark, d):
-    s, t = _b(spark, d)
+    s, t = _stored_b(spark, d)
     return R.hits(R.queries(s), R.index(t), t)
 
 
 @query(f"{O.B} SELECT source_id, target_id, rank::INT AS rank FROM merged")
 def retrieval_capped(spark, d):
-    return R.retrieve(*_b(spark, d))
+    return R.retrieve(*_stored_b(spark, d))
+
+
+def _stored_b(spark, d):
+    scratch = Scratch(spark, "retrieval")
+    return tuple(scratch.cut(x) for x in _b(spark, d))
 
 
 def _listed(spark, d):
@@ -362,11 +367,10 @@ def missing_required(spark, d):
     return V.missing_sources(_results(spark, d)[0], table(spark, d, "train_source1"))
 
 
-@query("SELECT DISTINCT 'extra_source' AS \"check\", coalesce(source1_entity_id, '') AS subject FROM matching_results ANTI JOIN candidate_pairs c ON c.source1_entity_id = matching_results.source1_entity_id")
+@query("SELECT DISTINCT 'extra_source' AS \"check\", coalesce(source1_entity_id, '') AS subject FROM matching_results ANTI JOIN (SELECT entity_id FROM train_source1 WHERE country = 'US') ON entity_id = source1_entity_id")
 def extra_sources(spark, d):
-    """Against the sources of the candidate file, which lacks some."""
-    m, c = _results(spark, d)
-    return V.extra_sources(m, c.select(F.col("source1_entity_id").alias("entity_id")))
+    """Where only the sources of one country are asked for, so that there are some."""
+    return V.extra_sources(_results(spark, d)[0], table(spark, d, "train_source1").where("country = 'US'"))
 
 
 def _last_rows(t: str, c: str) -> str:
