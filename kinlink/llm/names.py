@@ -16,7 +16,7 @@ TRADES = frozenset(
 )
 SHORT = dict(x.split(":") for x in "assoc:associates bat:batiment blg:boulangerie boul:boulangerie bros:brothers cab:cabinet cie:company cntr:center ctr:center centre:center chem:chemical const:construction constr:construction dent:dental dev:developpement elec:electronics electr:electronics eng:engineering engg:engineering engrs:engineering ent:enterprises entp:enterprises fab:fabrication gen:generale gr:group grp:group grpe:groupe hosp:hospital imm:immobilier ind:industries inds:industries indl:industries ing:ingenierie ins:insurance int:international intl:international lab:laboratory labs:laboratory med:medical mfg:manufacturing mgmt:management mgt:management pharm:pharmacie photo:photography prod:products prods:products prop:property serv:services service:services svc:services svcs:services soc:societe tech:technologies technol:technologies technology:technologies ther:therapy trans:transport transp:transport trpt:transport vet:veterinary whse:wholesale agcy:agency ag:agency dist:distribution distr:distribution mkt:marketing natl:national contrs:contractors conrs:contractors contr:contractors phie:pharmacie tpt:transport tpts:transport bradars:brothers gle:generale eksaports:exports teksatail:textile oto:auto egro:agro phud:food pharnichar:furniture haus:house sarvisej:services".split())
 # Given names with their short and pet forms, the given name first.
-PET_NAMES = """alexandra alex sandra lexi|alexander alex sandy xander|andrew andy drew|anthony tony|barbara barb|benedicte bene|benjamin ben benny|bernard bernie|catherine cathy kate cate katy cath|katherine kathy kate kat katie kay|charles charlie chuck chas|charlotte lottie|christine chris chrissy|christophe chris|christopher chris kit|daniel dan danny|david dave davy|deborah deb debbie debby|donald don donnie|dorothy dot dottie dolly|edward ed eddie ned ted teddy|elizabeth liz beth betty eliza lizzie betsy|elisabeth babette lise lisette|emmanuel manu|francois fanfan|frederic fred fredo|frederick fred freddie|genevieve ginette|gerard gege|gopal gopu|guillaume guy will|harish hari|helene lena|henry harry hank|jacqueline jackie jacky|jacques jacky|james jim jimmy jamie|jean jeannot|jennifer jen jenny|john jack johnny|jonathan jon|joseph joe joey jojo|kenneth ken|krishnan krish kris kishan kishna|lakshmi laxmi lacchmi|lawrence larry|laurent lolo|linda lindy|margaret maggie meg peggy marge greta|mary molly polly|matthew matt|michael mike mick mickey|mohammed mohd md muhammad mohamed mohammad|nathalie nath|nicholas nick|nicolas nico|pamela pam|patricia pat patty trish tricia|patrick pat paddy|philippe phil|pradeep pradip deepu|rajendra raj rajinder raju rajan|rebecca becky|richard rich rick dick richie ricky|robert rob bob bobby bert robbie|ronald ron ronnie|samuel sam sammy|saraswati sarasvati saras saru|sebastien seb|stephane steph|stephen steve|steven steve|sunita suneeta sunitha suni|susan sue susie|susannah susan sue susie suzy sanna|suzanne suzy|theodore theo ted teddy|therese tess|thierry titi|thomas tom tommy|timothy tim|valerie val|veronique vero|venkatesh venkat venky|victoria vicky|vincent vince|virginie gigi|vishwanath vishu vishwa viswanath|william will bill billy willie|xavier xav|yves yvon|chandrika chandra chandu|baptiste titou"""
+PET_NAMES = """alexandra alex sandra lexi|alexander alex sandy xander|andrew andy drew|anthony tony|barbara barb|benedicte bene|benjamin ben benny|bernard bernie|catherine cathy kate cate katy cath|katherine kathy kate kat katie kay|charles charlie chuck chas|charlotte lottie|christine chris chrissy|christophe chris|christopher chris kit|daniel dan danny|david dave davy|deborah deb debbie debby|donald don donnie|dorothy dot dottie dolly|edward ed eddie ned ted teddy|elizabeth liz beth betty eliza lizzie betsy|elisabeth babette lise lisette|emmanuel manu|francois fanfan|frederic fred fredo|frederick fred freddie|genevieve ginette|gerard gege|gopal gopu|guillaume guy gui will|harish hari|helene lena|henry harry hank|jacqueline jackie jacky|jacques jacky|james jim jimmy jamie|jean jeannot|jennifer jen jenny|john jack johnny|jonathan jon|joseph joe joey jojo|kenneth ken|krishnan krish kris kishan kishna|lakshmi laxmi lacchmi|lawrence larry|laurent lolo|linda lindy|margaret maggie meg peggy marge greta|mary molly polly|matthew matt|michael mike mick mickey|mohammed mohd md muhammad mohamed mohammad|nathalie nath|nicholas nick|nicolas nico|pamela pam|patricia pat patty trish tricia|patrick pat paddy|philippe phil|pradeep pradip deepu|rajendra raj rajinder raju rajan|rebecca becky|richard rich rick dick richie ricky|robert rob bob bobby bert robbie|ronald ron ronnie|samuel sam sammy|saraswati sarasvati saras saru|sebastien seb|stephane steph|stephen steve|steven steve|sunita suneeta sunitha suni|susan sue susie|susannah susan sue susie suzy sanna|suzanne suzy|theodore theo ted teddy|therese tess|thierry titi|thomas tom tommy|timothy tim|valerie val|veronique vero|venkatesh venkat venky|victoria vicky|vincent vince|virginie gigi|vishwanath vishu vishwa viswanath|william will bill billy willie|xavier xav|yves yvon|chandrika chandra chandu|baptiste titou"""
 _PETS: dict[str, set[str]] = {}
 for _line in PET_NAMES.split("|"):
     for _n in _line.split():

@@ -94,15 +94,17 @@ def plain(raw: str) -> str:
 # Letters exchanged in writing down what is heard, replaced in this order.
 SOUNDS = (("ee", "i"), ("oo", "u"), ("ph", "f"), ("w", "v"), ("ck", "k"), ("q", "k"), ("ch", "kh"), ("kh", "k"), ("c", "k"), ("y", "i"), ("z", "s"))
 _DOUBLED = re.compile(r"(.)\1+")
+_DOUBLED_CONSONANT = re.compile(r"([^aeiou])\1+")
 _NO_VOWELS = str.maketrans("", "", "aeiou")
 
 
 @lru_cache(maxsize=1 << 17)
 def sound(word: str) -> str:
-    """One spelling for letters that are exchanged in writing down what is heard; doubled letters count once."""
+    """One spelling for letters that are exchanged in writing down what is heard; doubled consonants count once.
+    Doubled vowels stay: where they come from a lost consonant, that is one edit."""
     for a, b in SOUNDS:
         word = word.replace(a, b)
-    return _DOUBLED.sub(r"\1", word) if _DOUBLED.search(word) else word
+    return _DOUBLED_CONSONANT.sub(r"\1", word) if _DOUBLED_CONSONANT.search(word) else word
 
 
 @lru_cache(maxsize=1 << 17)

@@ -189,7 +189,7 @@ def _tokens_apart(a: list[str], b: list[str]) -> float | None:
     total, rest = 0.0, list(b)
     if len(a) == len(b):
         for x in sorted(a, key=len, reverse=True):
-            got = min(((_near(x, y), y) for y in rest), default=(9.0, ""))
+            got = min(((_near(x, y, len(a) > 1), y) for y in rest), default=(9.0, ""))
             if got[0] > 3 or got[0] == _LONGER and len(a) == 1:  # a lone word that goes on is another name
                 total = 9.0
                 break
@@ -209,8 +209,9 @@ def _tokens_apart(a: list[str], b: list[str]) -> float | None:
 _LONGER = 2.5
 
 
-def _near(x: str, y: str) -> float:
-    """Edits between two tokens if they may be one; 9 if not."""
+def _near(x: str, y: str, among: bool = False) -> float:
+    """Edits between two tokens if they may be one; 9 if not. Among other words that agree, less is asked of one written
+    without vowels."""
     n = min(len(x), len(y))
     d = _osa(x, y, 2)
     if d <= (0 if n < 4 else 1 if n < 9 else 2):
@@ -218,6 +219,8 @@ def _near(x: str, y: str) -> float:
     bx, by = skeleton(x), skeleton(y)
     if n >= 3 and bx == by and len(bx) >= 3 and any(5 * sum(c in "aeiou" for c in t) <= len(t) for t in (x, y)):
         return 1.5
+    if among and (not set(x) & set("aeiou") or not set(y) & set("aeiou")) and n >= 2 and bx[0] == by[0] and (bx == by or min(len(bx), len(by)) >= 3 and _osa(bx, by, 1) <= 1):
+        return 2.0
     if len(x) >= 4 and len(y) >= 4 and (x.startswith(y) or y.startswith(x)) and n >= 5 and abs(len(x) - len(y)) <= 3:
         return _LONGER
     return 9.0
@@ -248,7 +251,7 @@ def apart(a: Reading, b: Reading) -> float | None:
     dropped = bool(ra["common"]) != bool(rb["common"]) and not (ra["given"] or rb["given"])
     if dropped and d > 0:
         return d + 0.5
-    if not d and (dropped or bool(ra["given"]) != bool(rb["given"])):  # a name in full comes before one that lacks something
+    if not d and (dropped or bool(ra["given"] or ra["initials"]) != bool(rb["given"] or rb["initials"])):  # a name in full comes before one that lacks something
         return 0.25
     return d
 
