@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions.text import bucket, id_list
 from kinlink.operators.features import set_features
+from kinlink.scratch import Scratch
 
 
 def truth(labels: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def fixed_grid(spark, with_current: bool = False) -> DataFrame:
 
 def policies_cross_validated(scored: DataFrame, labels: DataFrame, grids: dict[str, DataFrame]) -> DataFrame:
     """(policy, fold, t2, t3, tuned, f05) of each policy's grid in both folds; a grid of one row has nothing to tune."""
-    out = None
+    out, scored = None, Scratch(scored.sparkSession, "policies").cut(scored)  # read by every sweep
     for policy, grid in grids.items():
         one = cross_validated(scored, labels, grid).select(F.lit(policy).alias("policy"), "fold", "t2", "t3", "tuned", "f05")
         out = one if out is None else out.union(one)
