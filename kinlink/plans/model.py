@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.operators import evaluate as E
 from kinlink.operators.features import NAMES
+from kinlink.plans import trees
+from kinlink.ship import ship
 
 ROUNDS = 350
 SEED = 2026
 NORMALIZER_VERSION = 3
 
 
-def pipeline(rounds: int = ROUNDS, seed: int = SEED) -> Pipeline:
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=6, stepSize=0.06, subsamplingRate=0.85, featureSubsetStrategy="0.9", minInstancesPerNode=2, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(NAMES), outputCol="features"), trees])
-
-
 def probabilities(model: PipelineModel, featured: DataFrame, *keep: str) -> DataFrame:
     """(source_id, target_id, keep..., p, is_source2) of featured pairs."""
-    return model.transform(featured).select("source_id", "target_id", *keep, F.get(vector_to_array("probability"), F.lit(1)).alias("p"), (F.col("is_source2") > 0).alias("is_source2"))
+    ship(featured.sparkSession)
+    return model.transform(featured).select("source_id", "target_id", *keep, "p", (F.col("is_source2") > 0).alias("is_source2"))
 
 
 def trained(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> tuple[PipelineModel, DataFrame]:
@@ -33,7 +28,8 @@ def trained(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, seed:
     learnt = marked.where("not held_out")
     if learnt.select("label").distinct().count() != 2:
         raise ValueError("both labels must occur among the pairs to learn from")
-    model = pipeline(rounds, seed).fit(learnt)
+    ship(featured.sparkSession)
+    model = PipelineModel([trees.fitted(learnt, NAMES, rounds, seed)])
     return model, probabilities(model, marked.where("held_out"))
 
 
