@@ -52,26 +52,71 @@ def _drawn(key: np.ndarray, seed: int) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))) < np.uint64(int(ROWS * 2**64))
 
 
-def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, some: np.ndarray, columns: np.ndarray, total: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A tree on the rows ``some`` of x (features x rows): feature (-1: none) and last bin to the left of each inner node in
-    heap order, values of the leaves, and the leaf of every row. total() adds up what the tasks found."""
+#: joint bins of the features that are counted together
+JOINT = 1024
+
+
+def packs(x: np.ndarray, bins: list[int]) -> list[tuple[np.ndarray, list[int], list[int]]]:
+    """Features in few groups: (joint bin of every row, the features, how many bins each has). One count by joint bins has the
+    histograms of all features of a group."""
+    groups: list[tuple[list[int], list[int]]] = []
+    for j in sorted(range(len(bins)), key=lambda j: -bins[j]):
+        fits = next((g for g in groups if np.prod(g[1]) * bins[j] <= JOINT), None)
+        if fits is None:
+            groups.append(fits := ([], []))
+        fits[0].append(j)
+        fits[1].append(bins[j])
+    out = []
+    for features, sizes in groups:
+        code = np.zeros(x.shape[1], np.uint16)
+        for j, k in zip(features, sizes, strict=True):
+            code = code * np.uint16(k) + x[j]
+        out.append((code, features, sizes))
+    return out
+
+
+def _counted(packed: list[tuple[np.ndarray, list[int], list[int]]], at: np.ndarray, base: np.ndarray, half: int, weights: tuple[np.ndarray, ...], place: np.ndarray) -> np.ndarray:
+    """Sums of the weights of rows ``at`` by feature, node and bin (weights x features x nodes x BINS); place: where each
+    feature goes, -1 for those not wanted."""
+    out = np.zeros((len(weights), int(place.max()) + 1, half, BINS))
+    for code, features, sizes in packed:
+        if (place[features] < 0).all():
+            continue
+        size = int(np.prod(sizes))
+        key = base * size + code[at]
+        for w, weight in enumerate(weights):
+            joint = np.bincount(key, weight, half * size).reshape(half, *sizes)
+            for axis, (j, k) in enumerate(zip(features, sizes, strict=True), 1):
+                if place[j] >= 0:
+                    out[w, place[j], :, :k] = joint.sum(axis=tuple(i for i in range(1, len(sizes) + 1) if i != axis))
+    return out
+
+
+def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, some: np.ndarray, columns: np.ndarray, total: Callable[[np.ndarray], np.ndarray], packed: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree on the rows ``some`` of x (features x rows; packed: the same by packs()): feature (-1: none) and last bin to
+    the left of each inner node in heap order, values of the leaves, and the leaf of every row. total() adds up what the
+    tasks found."""
+    packed = packed or packs(x, [BINS] * len(x))
     inner, n = (1 << DEPTH) - 1, x.shape[1]
     feature, cut = np.full(inner, -1), np.full(inner, BINS)
     flat, rows = x.ravel(), np.arange(n)
+    place = np.full(len(x), -1)
+    place[columns] = np.arange(len(columns))
     node = np.zeros(n, np.intp)  # within its level
     last = np.zeros(0)
     for level in range(DEPTH):
         count = 1 << level
-        half = max(1, count >> 1)  # of two children the left one is counted, the right one is the rest
-        at = some[(node[some] & 1) == 0] if level else some
-        base, ga, ha = (node[at] >> 1 if level else node[at]) * BINS, g[at], h[at]
-        sums = np.empty((2, len(columns), half * BINS))
-        for i, j in enumerate(columns):
-            key = base + x[j][at]
-            sums[0, i], sums[1, i] = np.bincount(key, ga, half * BINS), np.bincount(key, ha, half * BINS)
-        sums = total(sums).reshape(2, len(columns), half, BINS)
+        half = max(1, count >> 1)  # of two children the one with fewer rows is counted, the other one is the rest
+        at, base = some, node[some]
         if level:
-            sums = np.stack([sums, last - sums], 3).reshape(2, len(columns), count, BINS)
+            held = total(np.bincount(base, minlength=count).astype(float))
+            right_one = held[1::2] < held[::2]
+            least = (base & 1) == right_one[base >> 1]
+            at, base = some[least], base[least] >> 1
+        sums = total(_counted(packed, at, base, half, (g[at], h[at]), place))
+        if level:
+            rest = last - sums
+            sums = np.stack([np.where(right_one[:, None], rest, sums), np.where(right_one[:, None], sums, rest)], 3).reshape(2, len(columns), count, BINS)
         last = sums
         left = sums.cumsum(axis=3)
         whole = left[:, :, :, -1:]
@@ -84,7 +129,8 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, some: np.ndarray, columns:
         first = count - 1
         feature[first : first + count] = np.where(good, columns[best // BINS], -1)
         cut[first : first + count] = np.where(good, best % BINS, BINS)
-        node = 2 * node + (flat[np.maximum(feature, 0)[first + node] * n + rows] > cut[first + node])
+        here = slice(first, first + count)
+        node = 2 * node + (flat.take((np.maximum(feature[here], 0) * n).take(node) + rows) > cut[here].take(node))
     size = 1 << DEPTH
     sums = total(np.stack([np.bincount(node[some], g[some], size), np.bincount(node[some], h[some], size)]))
     return feature, cut, RATE * sums[0] / (sums[1] + RIDGE), node
@@ -155,6 +201,7 @@ def _fit(cuts: list[np.ndarray], rounds: int, seed: int):
         key, y, x = (np.concatenate([p[i] for p in got], axis=-1) if got else e for i, e in enumerate((np.zeros(0, np.int64), np.zeros(0), np.zeros((len(cuts), 0), np.uint8))))
         order = np.argsort(key, kind="stable")  # sums in the same order every time
         key, y, x = key[order].view(np.uint64), y[order], np.ascontiguousarray(x[:, order])
+        packed = packs(x, [len(c) + 1 for c in cuts])
         ones, n = total(np.array([y.sum(), float(len(y))]))
         prior = float(np.log(ones / (n - ones)))
         score = np.full(len(y), prior)
@@ -163,7 +210,7 @@ def _fit(cuts: list[np.ndarray], rounds: int, seed: int):
             p = 1 / (1 + np.exp(-score))
             rng = np.random.default_rng((seed, r))
             columns = np.sort(rng.permutation(len(cuts))[: max(1, round(COLUMNS * len(cuts)))])
-            *tree, leaf = grow(x, y - p, p * (1 - p), np.flatnonzero(_drawn(key, (seed << 20) + r)), columns, total)
+            *tree, leaf = grow(x, y - p, p * (1 - p), np.flatnonzero(_drawn(key, (seed << 20) + r)), columns, total, packed)
             score += tree[2][leaf]
             out.append(tree)
         for peer in total.others:

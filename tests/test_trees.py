@@ -53,3 +53,17 @@ def test_first_split_by_hand():
     for k in set(leaf.tolist()):
         at = leaf == k
         assert np.isclose(value[k], trees.RATE * g[at].sum() / (h[at].sum() + trees.RIDGE))
+
+
+def test_counted_together_as_one_by_one():
+    rng = np.random.default_rng(0)
+    bins = [9, 7, 19, 18, 16, 8, 3, 3, 27, 3, 3, 29, 28, 32, 5, 3, 3]
+    x = np.stack([rng.integers(0, k, 3000) for k in bins]).astype(np.uint8)
+    packed = trees.packs(x, bins)
+    assert len(packed) <= 6 and sorted(j for _, features, _ in packed for j in features) == list(range(17))
+    at, base, w = np.flatnonzero(rng.random(3000) < 0.7), rng.integers(0, 4, 3000), rng.normal(size=3000)
+    place = np.array([j if j < 15 else -1 for j in range(17)])
+    got = trees._counted(packed, at, base[at], 4, (w[at],), place)
+    assert got.shape == (1, 15, 4, trees.BINS)
+    for j in range(15):
+        assert np.allclose(got[0, j].ravel(), np.bincount(base[at] * trees.BINS + x[j][at], w[at], 4 * trees.BINS))
